@@ -6,6 +6,8 @@ extra input columns never clash. A null text counts as empty, a null id as ``NO_
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,14 +36,24 @@ def id_back(col: str = "_id"):
     return F.when(F.col(col) != NO_ID, F.col(col))
 
 
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only where the session names none."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder in ``spark.checkpoint.dir``; sets one only where none is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    """Cuts the lineage through the shared folder; its files outlive a lost executor."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new name for a folder of tables under the shared one."""
+    return f"{checkpoint_root(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

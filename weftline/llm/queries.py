@@ -7,9 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table
+from weftline.llm.chat_format import as_chain, chat_format, loss_texts, turns_back
+from weftline.llm.common import id_back, table
+from weftline.llm.decontaminate import overlaps
+from weftline.llm.fingerprints import edited, fingerprint, likeness
+from weftline.llm.language_id import language_id
+from weftline.llm.line_dedup import line_dedup
+from weftline.llm.near_dedup import near_duplicates
+from weftline.llm.sentencepiece_codec import round_trip
 from weftline.llm.substring_dedup import substring_dedup
 from weftline.llm.suffix_dedup import suffix_dedup
+from weftline.llm.toxicity import fit, toxicity
+
+
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = edited(table(spark, sf_dir, "documents")).select("_id", F.length("_text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), *(fingerprint(F.col(c)).alias(f"_f{c}") for c in ("_text", "_edited", "_other")))
+    near = [likeness(F.col("_f_text"), F.col(c)).alias(n) for c, n in (("_f_edited", "near_edited"), ("_f_other", "near_next"))]
+    return both.select(id_back().alias("doc_id"), "n_chars", "edited_sha256", F.col("_f_text").alias("fingerprint"), F.col("_f_edited").alias("edited_fingerprint"), *near)
+
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity(documents, fit(documents, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,14 +48,49 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents")).select("doc_id", "lang", F.round("probability", 6).alias("probability"), "accepted")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: What the conversation -1 says in both of its turns.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    done = chat_format(as_chain(rows.union(probe), "conv_id", ["turn", "role", "text"]), tree_col="conv_id", score_col=None)
+    read = done.select(F.col("tree_id").alias("conv_id"), "formatted", turns_back(F.col("formatted")).alias("_turns"), F.array_join(loss_texts(F.col("formatted"), F.col("loss_spans")), "").alias("_loss"))
+    said = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("_turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars")
+    )
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op6_substring_dedup": op6_substring_dedup,
-    "op8_suffix_dedup": op8_suffix_dedup,
+    f.__name__: f
+    for f in (
+        op1_document_fingerprints,
+        op2_near_dedup,
+        op3_toxicity,
+        op4_sentencepiece,
+        op5_decontaminate,
+        op6_substring_dedup,
+        op7_language_id,
+        op8_suffix_dedup,
+        op9_chat_format,
+        op10_line_dedup,
+    )
 }
 
 ORACLES: dict[str, str] = {
@@ -52,4 +118,17 @@ kept AS (
   FROM d JOIN cuts ON cuts.doc_id = d.doc_id GROUP BY d.doc_id)
 SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id""",
+    "op9_chat_format": r"""
+WITH all_rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, role || chr(10) || text || chr(10) AS said, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+    length(role) + length(text) + 12 + 1 + 10 + 1
+    + len(regexp_extract_all(role || chr(10) || text, '<\\*(\|(im_start|im_end|endoftext|startoftext|system|user|assistant|eot_id|start_header_id|end_header_id|begin_of_text|end_of_text)\|>|/?s>|<SYS>>|</SYS>>)'))
+    + len(regexp_extract_all(role || chr(10) || text, '\[\\*/?(INST|SYSTEM_PROMPT|AVAILABLE_TOOLS|TOOL_CALLS|TOOL_RESULTS)\]')) AS size
+  FROM all_rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(said, '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, CAST(sum(length(loss)) AS BIGINT) AS loss_chars,
+  sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256, CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""",
 }
