@@ -67,11 +67,13 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """Each document, its edited text and the next document, by descending id (after the last: the first).
 
     The last floor(n / 3) code points are replaced by the first as many (or all) of the next document. Rows with equal ids are
-    edited alike, with the next smaller id; of several rows with that id, the one of least text hash is taken. Null ids come
+    edited alike, with the next smaller id; of several rows with that id, the one of least text is taken. Null ids come
     last. Returns ``_id, _text, _edited, _other``.
     """
-    source = keyed(docs, id_col, text_col)
-    others = source.withColumn("_r", F.row_number().over(W.partitionBy("_id").orderBy("_k"))).where("_r = 1").select(F.col("_id").alias("_next"), F.col("_text").alias("_other"))
+    source = keyed(docs, id_col, text_col).select("_id", "_text")
+    # the first row of each id is the one without a row before it; both sides share one shuffle of the texts by id
+    before = F.lag("_id").over(W.partitionBy("_id").orderBy("_text"))
+    others = source.withColumn("_b", before).where("_b IS NULL").select(F.col("_id").alias("_next"), F.col("_text").alias("_other"))
     n, cut = F.length("_text"), F.floor(F.length("_text") / 3).cast("int")
     joined = source.join(following(source), "_id").select("_id", "_text", "_next").join(others, "_next")
     return joined.select("_id", "_text", F.concat(F.substring(F.col("_text"), F.lit(1), n - cut), F.substring(F.col("_other"), F.lit(1), cut)).alias("_edited"), "_other")
