@@ -1,7 +1,7 @@
 """Line dedup by a log-template tree of fixed depth, in DataFrame operations only.
 
-A line's tokens with digits, at signs or slashes are variable fields. The tree's inner nodes are the number of tokens and the
-leading tokens; each leaf has one template, in which positions without a prevailing token are variable too. Unlike the
+Tokens are what single spaces part; those with digits, at signs or slashes are variable fields. The tree's inner nodes are the
+number of tokens and the leading tokens; each leaf has one template, in which positions without a prevailing token are variable too. Unlike the
 sequential parser that the tree comes from, a leaf's template is a function of its lines, not of the order they arrive in.
 """
 
@@ -23,44 +23,40 @@ MIN_DOCS = 5
 MOST = 0.5
 
 
-def masked(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?<!\S)[^\s0-9@/]*+[0-9@/]\S*", FIELD)
-
-
-def _tokens(line: Column) -> Column:
-    return F.split(line, r"[ \t\r]+")
+def masked(line: Column) -> Column:
+    return F.regexp_replace(line, r"(?<![^ ])[^ 0-9@/]*+[0-9@/][^ ]*", FIELD)
 
 
 def _leaf(line: Column) -> Column:
-    tokens = _tokens(line)
-    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH))
+    """The tree's path: how many tokens, and the leading ones with their variable fields masked; the rest is not read."""
+    n = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.xxhash64(n, masked(F.substring_index(line, " ", DEPTH)))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int) -> DataFrame:
-    """(_id, _k, _lines): hashes of the masked lines of each ``keyed`` document whose template recurs."""
-    lines = F.array_distinct(F.filter(F.split(masked(F.col("_text")), "\n"), lambda s: s.rlike(r"\S")))
+    """(_id, _k, _lines): hashes of the lines of each ``keyed`` document whose template recurs."""
+    lines = F.array_distinct(F.filter(F.split("_text", "\n"), lambda s: F.trim(s) != ""))
     leaves = checkpointed(docs.select("_id", "_k", F.explode(F.array_distinct(F.transform(lines, _leaf))).alias("_leaf")))
     shared = leaves.groupBy("_leaf").agg(F.count("_id").alias("_n")).where(F.col("_n") >= min_docs).select("_leaf")
     wanted = leaves.join(shared, "_leaf").groupBy("_id", "_k").agg(F.collect_set("_leaf").alias("_leaves"))
-    found = docs.join(wanted, ["_id", "_k"]).select("_id", "_k", "_leaves", F.explode(lines).alias("_line")).withColumn("_leaf", _leaf(F.col("_line"))).where(F.array_contains("_leaves", F.col("_leaf")))
-    found = checkpointed(found.select("_id", "_k", "_leaf", "_line"))
+    found = docs.join(wanted, ["_id", "_k"]).select("_id", "_k", F.explode(F.filter(lines, lambda s: F.array_contains(F.col("_leaves"), _leaf(s)))).alias("_own"))
+    found = checkpointed(found.select("_id", "_k", _leaf(F.col("_own")).alias("_leaf"), masked(F.col("_own")).alias("_line"), F.xxhash64("_own").alias("_hash")))
     variants = checkpointed(found.groupBy("_leaf", "_line").agg(F.count("_id").alias("_n")))
-    tokens = variants.select("_leaf", "_n", F.posexplode(_tokens(F.col("_line"))).alias("_i", "_token")).groupBy("_leaf", "_i", "_token").agg(F.sum("_n").alias("_n"))
+    tokens = variants.select("_leaf", "_n", F.posexplode(F.split("_line", " ")).alias("_i", "_token")).groupBy("_leaf", "_i", "_token").agg(F.sum("_n").alias("_n"))
     places = tokens.groupBy("_leaf", "_i").agg(F.max(F.struct("_n", "_token")).alias("_top"), F.sum("_n").alias("_all"))
     place = F.when(F.col("_top._n") >= PREVAILS * F.col("_all"), F.col("_top._token")).otherwise(FIELD)
     templates = places.groupBy("_leaf").agg(F.sort_array(F.collect_list(F.struct("_i", place.alias("t")))).alias("_places")).select("_leaf", F.transform("_places", lambda x: x["t"]).alias("_template"))
     templates = templates.where(F.size(F.filter("_template", lambda t: t != FIELD)) >= CONSTANT * F.size("_template"))
-    fits = F.forall(F.zip_with("_template", _tokens(F.col("_line")), lambda t, own: (t == FIELD) | (t == own)), lambda x: x)
+    fits = F.forall(F.zip_with("_template", F.split("_line", " "), lambda t, own: (t == FIELD) | (t == own)), lambda x: x)
     named = variants.join(templates, "_leaf", "left").select("_leaf", "_line", F.xxhash64("_leaf", F.when(F.coalesce(fits, F.lit(False)), F.array_join("_template", " ")).otherwise(F.col("_line"))).alias("_name"))
-    lines_named = found.join(named, ["_leaf", "_line"]).select("_id", "_k", "_name", F.xxhash64("_line").alias("_hash"))
+    lines_named = found.join(named, ["_leaf", "_line"]).select("_id", "_k", "_name", "_hash")
     recurring = lines_named.select("_id", "_k", "_name").distinct().groupBy("_name").agg(F.count("_id").alias("_n")).where(F.col("_n") >= min_docs).select("_name")
     return lines_named.join(recurring, "_name").groupBy("_id", "_k").agg(F.collect_set("_hash").alias("_lines"))
 
 
 def _cut(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Rows with ``_id, _k, _text`` and ``_out``, the text without those lines."""
-    pairs = F.arrays_zip(F.split("_text", "\n").alias("own"), F.split(masked(F.col("_text")), "\n").alias("line"))
-    kept = F.transform(F.filter(pairs, lambda x: ~F.array_contains(F.col("_lines"), F.xxhash64(x["line"]))), lambda x: x["own"])
+    kept = F.filter(F.split("_text", "\n"), lambda line: ~F.array_contains(F.col("_lines"), F.xxhash64(line)))
     new = docs.join(lines, ["_id", "_k"], "left").withColumn("_new", F.when(F.col("_lines").isNotNull(), F.array_join(kept, "\n")))
     full = [F.length(F.replace(F.col(c), F.lit("\n"), F.lit(""))) for c in ("_new", "_text")]
     return new.withColumn("_out", F.when(full[0] >= (1 - MOST) * full[1], F.col("_new")).otherwise(F.col("_text")))

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import NO_ID, PLAIN, checkpointed, chunks, column, gram_hashes, id_back, keyed, mixed, range_hashes, utf8, word_spans
+from weftline.llm.common import NO_ID, PLAIN, checkpointed, chunks, column, gram_hashes, id_back, keyed, mixed, range_hashes, saved, utf8, word_spans
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
+#: So many keys of eight bytes are few enough for every task.
+FEW = 100_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,24 +116,38 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     return joined.select("_l", "_k", "_a", "_b").mapInArrow(small, "_l long, _k long")
 
 
-def links(docs: DataFrame, bands: DataFrame, similar: float) -> DataFrame | None:
-    """Verified pairs (_l, _k) of texts that share a band, without expanding a bucket into all its pairs.
+def needed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts of the pairs' ends. Few keys (counted) go to all tasks, so that other texts need not be moved."""
+    keys = checkpointed(pairs.select("_k").union(pairs.select("_l")).distinct())
+    return texts.join(F.broadcast(keys) if keys.count() <= FEW else keys, "_k", "left_semi")
 
-    Each bucket's least member leads; the others are verified against it. Those that are not similar to their leader form the
-    bucket anew, and so on until no bucket has two members, so every member is linked to a leader or has been one itself.
+
+def linked(docs: DataFrame, bands: DataFrame, similar: float) -> DataFrame | None:
+    """(_k, _c): the least text hash of each linked text's component; None without links. Over texts that share a band.
+
+    A bucket is never expanded into all its pairs. In each round its least members (1, then 16, 256, ...) lead: they are verified
+    against the members of other components and leave the bucket. A bucket is done when its members are of one component. So
+    every two members of a bucket have been compared or are of one component: no link between components is lost.
     """
-    buckets = checkpointed(bands.select("_k", F.explode("_bands").alias("_key")).distinct().withColumn("_n", F.count("_k").over(W.partitionBy("_key"))).where("_n > 1").select("_key", "_k"))
-    wanted = bands.join(buckets.select("_k").distinct(), "_k").groupBy("_k").agg(F.min("_id").alias("_id"))
-    texts = checkpointed(docs.join(wanted, ["_id", "_k"]).select("_k", "_text").dropDuplicates(["_k"]))
-    found = None
+    once = bands.dropDuplicates(["_k"])
+    buckets = checkpointed(once.select("_k", F.explode("_bands").alias("_key")).withColumn("_n", F.count("_k").over(W.partitionBy("_key"))).where("_n > 1").select("_key", "_k"))
+    wanted = buckets.select("_k").distinct().join(bands.select("_id", "_k"), "_k").groupBy("_k").agg(F.min("_id").alias("_id"))
+    texts = saved(docs.join(wanted, ["_id", "_k"]).select("_k", "_text").dropDuplicates(["_k"]))
+    edges, labels, leaders = None, None, 1
     while True:
-        led = checkpointed(buckets.join(buckets.groupBy("_key").agg(F.min("_k").alias("_l"), F.count("_k").alias("_n")).where("_n > 1").drop("_n"), "_key").where("_k <> _l"))
-        if led.isEmpty():
-            return found
-        pairs = led.select("_l", "_k").distinct()
-        new = checkpointed(verified(pairs, texts, similar))
-        found = new if found is None else found.union(new)
-        buckets = led.join(new, ["_l", "_k"], "left_anti").select("_key", "_k")
+        named = buckets.withColumn("_c", F.col("_k")) if labels is None else buckets.join(labels, "_k", "left").select("_key", "_k", F.coalesce("_c", "_k").alias("_c"))
+        mixed_ = named.groupBy("_key").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b")).where("_a < _b").select("_key")
+        buckets = checkpointed(named.join(mixed_, "_key"))
+        if buckets.isEmpty():
+            return labels
+        lead = buckets.withColumn("_r", F.row_number().over(W.partitionBy("_key").orderBy("_k"))).where(F.col("_r") <= leaders).select("_key", F.col("_k").alias("_l"), F.col("_c").alias("_d"))
+        pairs = checkpointed(buckets.join(lead, "_key").where("_c <> _d AND _l < _k").select("_l", "_k").distinct())
+        new = checkpointed(verified(pairs, needed(texts, pairs), similar))
+        if not new.isEmpty():
+            edges = new if edges is None else checkpointed(edges.union(new))
+            labels = components(edges)
+        buckets = buckets.join(lead.select("_key", F.col("_l").alias("_k")), ["_key", "_k"], "left_anti").select("_key", "_k")
+        leaders *= 16
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -151,9 +167,9 @@ def components(edges: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, similar: float) -> DataFrame:
     """(_id, _k, _first): the least (id, text hash) of the row's class; one row for each row."""
     bands = checkpointed(band_rows(docs))
-    edges = links(docs, bands, similar)
+    labels = linked(docs, bands, similar)
     members = bands.select("_id", "_k")
-    named = members.withColumn("_c", F.col("_k")) if edges is None else members.join(components(edges), "_k", "left").select("_id", "_k", F.coalesce("_c", "_k").alias("_c"))
+    named = members.withColumn("_c", F.col("_k")) if labels is None else members.join(labels, "_k", "left").select("_id", "_k", F.coalesce("_c", "_k").alias("_c"))
     return named.join(named.groupBy("_c").agg(F.min(F.struct("_id", "_k")).alias("_first"), F.count("_c").alias("_size")), "_c").select("_id", "_k", "_first", "_size")
 
 

@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import chunks, column, shuffle_partitions
+from weftline.llm.common import chunks, column, mixed, range_hashes, shuffle_partitions
+
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def anchor_rows(docs: DataFrame, runs_of) -> DataFrame:
@@ -33,8 +35,11 @@ def anchor_rows(docs: DataFrame, runs_of) -> DataFrame:
     return docs.select("_id", "_text").mapInArrow(rows, "_id long, _anchor long, _n int")
 
 
-def candidate_runs(docs: DataFrame, wanted: DataFrame, runs_of, payload_of) -> DataFrame:
-    """(_anchor, _id, _k, _start, _run): the runs of each document at the anchors that ``wanted`` (_id, _anchors) lists for it."""
+def candidate_runs(docs: DataFrame, wanted: DataFrame, runs_of, units_of) -> DataFrame:
+    """(_anchor, _id, _k, _starts, _run): the runs of each document at the anchors that ``wanted`` (_id, _anchors) lists for it.
+
+    Equal runs of a document at one anchor, as periodic texts have them, are one row with all their starts.
+    """
 
     def rows(batches):
         for batch in chunks(batches):
@@ -42,17 +47,32 @@ def candidate_runs(docs: DataFrame, wanted: DataFrame, runs_of, payload_of) -> D
             lists = batch.column(batch.schema.get_field_index("_anchors"))
             at, flat = np.asarray(lists.offsets), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
             flat = flat[at[0] : at[-1]]
-            owner = np.repeat(np.arange(len(lists)), np.diff(at))
+            owner = np.repeat(np.arange(len(lists)), np.diff(at)).astype(np.uint64)
             # both sides as one key; a clash only adds a candidate
-            own = anchor ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            keep = np.flatnonzero(np.isin(own, flat ^ (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
-            start, run = payload_of(units, doc[keep], first[keep], last[keep])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor[keep].view(np.int64)), pa.array(column(batch, "_id")[doc[keep]]), pa.array(column(batch, "_k")[doc[keep]]), pa.array(start.astype(np.int32)), run], ["_anchor", "_id", "_k", "_start", "_run"]
-            )
+            own = anchor ^ (doc.astype(np.uint64) * _SPREAD)
+            keep = np.flatnonzero(np.isin(own, flat ^ (owner * _SPREAD)))
+            doc, first, last, anchor, own = doc[keep], first[keep], last[keep], anchor[keep], own[keep]
+            data, bounds, ends = units_of(units, last)
+            _, some, which = np.unique(mixed(range_hashes(data, first, ends) ^ own), return_index=True, return_inverse=True)
+            order = np.argsort(which, kind="stable")
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(which, minlength=len(some))))).astype(np.int32)
+            starts = pa.ListArray.from_arrays(pa.array(offsets), pa.array((first - bounds[doc])[order].astype(np.int32)))
+            arrays = [pa.array(anchor[some].view(np.int64)), pa.array(column(batch, "_id")[doc[some]]), pa.array(column(batch, "_k")[doc[some]]), starts, packed(data, first[some], ends[some])]
+            yield pa.RecordBatch.from_arrays(arrays, ["_anchor", "_id", "_k", "_starts", "_run"])
 
     joined = docs.join(wanted, "_id")
-    return joined.select("_id", "_k", "_text", "_anchors").mapInArrow(rows, "_anchor long, _id long, _k long, _start int, _run binary")
+    return joined.select("_id", "_k", "_text", "_anchors").mapInArrow(rows, "_anchor long, _id long, _k long, _starts array<int>, _run binary")
+
+
+def run_rows(batch: pa.RecordBatch):
+    """(anchor, id, k, starts, run) of each row."""
+    lists = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_anchor", "_id", "_k", "_starts", "_run")]
+    return zip(*lists, strict=True)
+
+
+def span_batch(out: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*out, strict=True)) or [[], [], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["_id", "_k", "_start", "_len"])
 
 
 def at_one_place(runs: DataFrame) -> DataFrame:

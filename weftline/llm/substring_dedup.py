@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.llm.common import SPACES, chunks, column, gram_hashes, id_back, keyed, range_hashes, utf8, window_runs, word_spans
-from weftline.llm.repeats import anchor_rows, at_one_place, candidate_runs, covered, own_spans, packed, with_spans
+from weftline.llm.repeats import anchor_rows, at_one_place, candidate_runs, covered, own_spans, run_rows, span_batch, with_spans
 
 WORDS, GRAM = 13, 3
 
@@ -49,8 +49,7 @@ def repeated_spans(runs: DataFrame, window: int) -> DataFrame:
         anchor, doc, index, waiting = None, None, {}, {}
         for batch in batches:
             out: list[tuple] = []
-            texts = batch.column(batch.schema.get_field_index("_run")).to_pylist()
-            for a, i, k, start, run in zip(*(column(batch, c).tolist() for c in ("_anchor", "_id", "_k", "_start")), texts, strict=True):
+            for a, i, k, starts, run in run_rows(batch):
                 if a != anchor:
                     anchor, doc, index, waiting = a, i, {}, {}
                 elif i != doc:
@@ -61,9 +60,8 @@ def repeated_spans(runs: DataFrame, window: int) -> DataFrame:
                     doc, waiting = i, {}
                 waiting[run] = None
                 if index:
-                    out.extend((i, k, start + first, length) for first, length in factors(run, index, window))
-            cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["_id", "_k", "_start", "_len"])
+                    out.extend((i, k, start + first, length) for first, length in factors(run, index, window) for start in starts)
+            yield span_batch(out)
 
     return at_one_place(runs).mapInArrow(rows, "_id long, _k long, _start int, _len int")
 
@@ -76,15 +74,15 @@ def duplicate_spans(docs: DataFrame, window: int = WORDS) -> DataFrame:
         hashes = range_hashes(data, starts, ends)
         return (hashes, bounds), window_runs(gram_hashes(hashes, GRAM), bounds, window, GRAM)
 
-    def payload_of(units, doc, first, last):
+    def units_of(units, last):
         hashes, bounds = units
-        return first - bounds[doc], packed((hashes >> np.uint64(32)).astype(np.uint32), first, last + window)
+        return (hashes >> np.uint64(32)).astype(np.uint32), bounds, last + window
 
     anchors = W.partitionBy("_anchor")
     wanted = (
         anchor_rows(docs, runs_of).select("_id", "_anchor").withColumn("_min", F.min("_id").over(anchors)).withColumn("_max", F.max("_id").over(anchors)).where("_min < _max").groupBy("_id").agg(F.collect_list("_anchor").alias("_anchors"))
     )
-    return with_spans(docs, repeated_spans(candidate_runs(docs, wanted, runs_of, payload_of), window))
+    return with_spans(docs, repeated_spans(candidate_runs(docs, wanted, runs_of, units_of), window))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WORDS) -> DataFrame:

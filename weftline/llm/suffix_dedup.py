@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import chunks, column, gram_hashes, id_back, keyed, mixed, utf8, window_runs
-from weftline.llm.repeats import anchor_rows, at_one_place, candidate_runs, covered, own_spans, packed, with_spans
+from weftline.llm.repeats import anchor_rows, at_one_place, candidate_runs, covered, own_spans, run_rows, span_batch, with_spans
 
 LENGTH, GRAM, SYMBOL, SHARDS = 200, 32, 25, 2
 #: Bytes of distinct strings that are merged at a time; a larger group is split by a second anchor.
@@ -135,41 +135,39 @@ def repeated_spans(runs: DataFrame, k: int) -> DataFrame:
     """(_id, _k, _start, _len) of the bytes in repeated strings of k bytes."""
 
     def rows(batches):
-        places: dict[bytes, list[tuple[int, int, int]]] = {}  # the distinct runs of whole groups, and where they stand
-        group: dict[bytes, list[tuple[int, int, int]]] = {}
+        places: dict[bytes, list[tuple[int, int, list[int]]]] = {}  # the distinct runs of whole groups, and where they stand
+        group: dict[bytes, list[tuple[int, int, list[int]]]] = {}
         anchor, size = None, 0
 
         def settle():
             out: list[tuple] = []
             if places:
-                for (text, at), starts in zip(places.items(), group_starts(list(places), [len(v) for v in places.values()], k), strict=True):
+                for (text, at), starts in zip(places.items(), group_starts(list(places), [sum(len(x) for _, _, x in v) for v in places.values()], k), strict=True):
                     if len(starts):
                         mask = covered(len(text), starts, np.full(len(starts), k))
                         edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0])))).tolist()
-                        out.extend((i, key, start + a, b - a) for i, key, start in at for a, b in zip(edge[::2], edge[1::2], strict=True))
+                        out.extend((i, key, start + a, b - a) for i, key, own in at for start in own for a, b in zip(edge[::2], edge[1::2], strict=True))
             places.clear()
-            cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["_id", "_k", "_start", "_len"])
+            return span_batch(out)
 
         def close():
             # a run that stands alone in its group is repeated as a whole and needs no merge; many such settle at once
             nonlocal size
-            if sum(map(len, group.values())) >= 2:
+            if len(group) > 1 or any(len(x) > 1 for at in group.values() for _, _, x in at) or sum(map(len, group.values())) > 1:
                 for text, at in group.items():
                     places.setdefault(text, []).extend(at)
                     size += len(text)
             group.clear()
 
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_run")).to_pylist()
-            for a, i, key, start, run in zip(*(column(batch, c).tolist() for c in ("_anchor", "_id", "_k", "_start")), texts, strict=True):
+            for a, i, key, starts, run in run_rows(batch):
                 if a != anchor:
                     close()
                     anchor = a
                     if size >= MERGE // 2:
                         yield settle()
                         size = 0
-                group.setdefault(run, []).append((i, key, start))
+                group.setdefault(run, []).append((i, key, starts))
         close()
         yield settle()
 
@@ -183,14 +181,14 @@ def repeated_bytes(docs: DataFrame, k: int = LENGTH) -> DataFrame:
         data, bounds = utf8(batch.column(batch.schema.get_field_index("_text")))
         return (data, bounds), _runs(data, bounds, k)
 
-    def payload_of(units, doc, first, last):
+    def units_of(units, last):
         data, bounds = units
-        return first - bounds[doc], packed(data, first, last + k)
+        return data, bounds, last + k
 
     anchors = anchor_rows(docs, runs_of)
     repeated = anchors.groupBy("_anchor").agg(F.sum("_n").alias("_all")).where("_all > 1").select("_anchor")
     wanted = anchors.join(repeated, "_anchor").groupBy("_id").agg(F.collect_list("_anchor").alias("_anchors"))
-    return with_spans(docs, repeated_spans(candidate_runs(docs, wanted, runs_of, payload_of), k))
+    return with_spans(docs, repeated_spans(candidate_runs(docs, wanted, runs_of, units_of), k))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
