@@ -29,30 +29,61 @@ class Strings:
         self.at = np.concatenate(([0], np.cumsum(self.sizes + 1)))
         nodes, self.q = int(self.at[-1]), q
         data = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
-        self.string = np.repeat(np.arange(len(strings)), self.sizes + 1)
-        self.offset = np.arange(nodes) - self.at[self.string]
-        hashes = np.zeros(nodes, np.uint64)
-        grams = gram_hashes(data, q)
-        hashes[: len(grams)] = grams
-        self.full = self.offset + q <= self.sizes[self.string]
+        self.string = np.repeat(np.arange(len(strings), dtype=np.int32), self.sizes + 1)
+        self.left = np.repeat(self.at[1:] - 1, self.sizes + 1) - np.arange(nodes)  # bytes from here to the string's end
+        full = np.flatnonzero(self.left >= q)
         self.symbol = np.zeros(nodes, np.int64)
-        self.symbol[self.full] = np.unique(hashes[self.full], return_inverse=True)[1] + 1
-        self.before = np.where(self.offset >= q, np.roll(self.symbol, q), 0)
-
-
-def shard_transform(text: Strings, nodes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shard's suffixes in order of their first ``depth`` symbols (by prefix doubling), and the symbols before them."""
-    rank, step = np.zeros(len(text.symbol) + 1, np.int64), 1
-    rank[nodes] = text.symbol[nodes]
+        self.symbol[full] = numbered(gram_hashes(data, q)[full]) + 1
+        self.before = np.zeros(nodes, np.int64)
+        self.before[q:] = np.where(self.left[q:] + q <= np.repeat(self.sizes, self.sizes + 1)[q:], self.symbol[:-q], 0)
+
+
+def numbered(hashes: np.ndarray) -> np.ndarray:
+    """Equal hashes alike by numbers from 0; their order is free. Sorts the upper bits with places packed below, if those tell all apart."""
+    if len(hashes) < 1 << 21:
+        low = np.uint64((1 << 21) - 1)
+        key = hashes & ~low | np.arange(len(hashes), dtype=np.uint64)
+        key.sort()
+        order = (key & low).astype(np.int64)
+        key >>= np.uint64(21)
+        differs, own = key[1:] != key[:-1], hashes[order]
+        if np.array_equal(differs, own[1:] != own[:-1]):
+            out = np.zeros(len(hashes), np.int64)
+            out[order[1:]] = np.cumsum(differs)
+            return out
+    return np.unique(hashes, return_inverse=True)[1]
+
+
+def ordered(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order by (high, low), and each place's rank there, equal pairs alike. Few enough go through one sort of packed numbers."""
+    if len(high) < 1 << 21:
+        key = high << 42 | low << 21 | np.arange(len(high))
+        key.sort()
+        order = key & ((1 << 21) - 1)
+        key >>= 21
+    else:
+        key = high << 32 | low
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    rank = np.zeros(len(key), np.int64)
+    np.cumsum(key[1:] != key[:-1], out=rank[1:])
+    return order, rank
+
+
+def shard_transform(text: Strings, first: int, last: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of a shard (nodes first to last) in order of ``depth`` symbols or more (by prefix doubling), and the symbols before them."""
+    rank, left, step = text.symbol[first:last], text.left[first:last], 1
+    order, place = ordered(np.unique(rank, return_inverse=True)[1], np.zeros(last - first, np.int64)) if depth == 1 else (None, None)
     while step < depth:
-        ahead = nodes + step * text.q
-        inside = text.offset[nodes] + step * text.q <= text.sizes[text.string[nodes]]
-        later = np.where(inside, rank[np.where(inside, ahead, len(rank) - 1)], 0)
-        rank[nodes] = np.unique((rank[nodes] << 32) | later, return_inverse=True)[1] + 1
-        rank[nodes[text.symbol[nodes] == 0]] = 0
+        ahead = np.zeros(last - first, np.int64)
+        over = step * text.q
+        ahead[:-over] = np.where(left[:-over] >= over, rank[over:], 0)
+        order, place = ordered(rank, ahead)
+        rank = np.empty(last - first, np.int64)
+        # the empty suffixes, and those of less than a symbol, are the first place's and stay 0
+        rank[order] = place
         step *= 2
-    order = nodes[np.argsort(rank[nodes], kind="stable")]
-    return order, text.before[order]
+    return order + first, text.before[first:last][order]
 
 
 def merged(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,31 +94,35 @@ def merged(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.nda
     sees a difference, which gives the length of the common prefix there.
     """
     shard = np.repeat(np.arange(len(transforms), dtype=np.int8), [len(t) for t in transforms])
-    interval = np.zeros(len(shard), np.int64)
+    interval = np.zeros(len(shard), np.int32)
     slots = np.arange(len(shard), dtype=np.int64)
+    transforms = [t << 32 for t in transforms]
+    key = np.empty(len(shard), np.int64)
+    differs = np.ones(len(shard), bool)
     for _ in range(depth):
-        symbol = np.empty(len(shard), np.int64)
         for s, transform in enumerate(transforms):
-            symbol[shard == s] = transform
-        order = np.sort((symbol << 32) | slots) & 0xFFFFFFFF
-        symbol = symbol[order]
-        shard, old = shard[order], np.where(symbol == 0, 0, interval[order])
-        differs = np.ones(len(shard), bool)
-        differs[1:] = (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])
-        interval = np.cumsum(differs) - 1
-    return shard, interval
+            key[shard == s] = transform
+        key |= slots
+        key.sort()
+        order = key & 0xFFFFFFFF
+        key >>= 32
+        shard, old = shard[order], interval[order]
+        old[: np.searchsorted(key, 0, "right")] = 0
+        differs[1:] = (key[1:] != key[:-1]) | (old[1:] != old[:-1])
+        interval = np.cumsum(differs, dtype=np.int32)
+    return shard, interval - 1
 
 
 def repeated_starts(strings: list[bytes], weights: list[int], k: int = LENGTH, q: int = SYMBOL, shards: int = SHARDS) -> list[np.ndarray]:
     """For each string, where strings of k bytes start that occur at least twice, a string counted ``weight`` times."""
     text, depth = Strings(strings, q), k // q
-    shard_of = np.minimum(text.string * shards // max(1, len(strings)), shards - 1)
-    orders, transforms = zip(*(shard_transform(text, np.flatnonzero(shard_of == s), depth) for s in range(shards)), strict=True)
+    cuts = text.at[[len(strings) * s // shards for s in range(shards + 1)]]
+    orders, transforms = zip(*(shard_transform(text, int(a), int(b), depth) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b), strict=True)
     shard, interval = merged(list(transforms), depth)
     node = np.empty(len(shard), np.int64)
     for s, order in enumerate(orders):
         node[shard == s] = order
-    whole = text.offset[node] + k <= text.sizes[text.string[node]]
+    whole = text.left[node] >= k
     node, interval = node[whole], interval[whole]
     times = np.bincount(interval, weights=np.asarray(weights)[text.string[node]]) if len(node) else np.zeros(0)
     hits = np.zeros(len(text.symbol), bool)
@@ -128,7 +163,7 @@ def group_starts(strings: list[bytes], weights: list[int], k: int, salt: int = 1
         for text, places in group.items():
             batch.setdefault(text, []).extend(places)
     settle()
-    return [np.concatenate(x) for x in found]
+    return [np.unique(np.concatenate(x)) for x in found]
 
 
 def repeated_spans(runs: DataFrame, k: int) -> DataFrame:
@@ -144,9 +179,9 @@ def repeated_spans(runs: DataFrame, k: int) -> DataFrame:
             if places:
                 for (text, at), starts in zip(places.items(), group_starts(list(places), [sum(len(x) for _, _, x in v) for v in places.values()], k), strict=True):
                     if len(starts):
-                        mask = covered(len(text), starts, np.full(len(starts), k))
-                        edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0])))).tolist()
-                        out.extend((i, key, start + a, b - a) for i, key, own in at for start in own for a, b in zip(edge[::2], edge[1::2], strict=True))
+                        gaps = np.flatnonzero(starts[1:] - starts[:-1] > k)
+                        spans = [(int(starts[0]), int(starts[-1]) + k)] if not len(gaps) else list(zip([int(starts[0]), *starts[gaps + 1].tolist()], [*(starts[gaps] + k).tolist(), int(starts[-1]) + k], strict=True))
+                        out.extend((i, key, start + a, b - a) for i, key, own in at for start in own for a, b in spans)
             places.clear()
             return span_batch(out)
 
