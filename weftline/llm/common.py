@@ -55,7 +55,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cuts the lineage as ``checkpointed`` does, in compressed files: for tables with texts."""
+    """Cuts the lineage as ``checkpointed`` does, in compressed files: for tables with texts, and for what a loop hands to its next round.
+
+    A checkpoint keeps the optimiser's guess of its size, which joins square from round to round until planning stalls; files have their own size.
+    """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,6 +15,10 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
 #: So many keys of eight bytes are few enough for every task.
 FEW = 100_000
+#: Buckets of so many members are compared pair by pair; larger ones have a leader, for so many rounds.
+SMALL, ROUNDS = 6, 4
+#: What rounding may take from a similarity.
+EPSILON = 1e-9
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,27 +97,40 @@ def band_rows(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """The pairs (_l, _k) of at least that similarity."""
-
-    def rows(batches):
-        for batch in batches:
-            if not batch.num_rows:
+    """Each pair (_l, _k, _large) with ``_ok``: whether it reaches that similarity. Pairs of large groups also say how k stands to l:
+    its weight, its weight on l's shingles, how many of l's it lacks, and ``_own``, those it has besides l's, in order of hash, as far as
+    their weight first exceeds 1 - similar of its own.
+    """
+    schema = "_l long, _k long, _large boolean, _ok boolean, _w long, _wl long, _lacks long, _own array<long>"
+
+    def rows(batch):
+        sides = []
+        for name in ("_a", "_b"):
+            row, element, times = shingles(batch.column(batch.schema.get_field_index(name)))
+            cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            sides.append([(element[x:y], times[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)])
+        out = []
+        for large, a, b in zip(batch.column(batch.schema.get_field_index("_large")).to_pylist(), *sides, strict=True):
+            ok = similarity(a, b) >= similar - EPSILON
+            if not large:
+                out.append((ok, None, None, None, None))
                 continue
-            sides = []
-            for name in ("_a", "_b"):
-                row, element, times = shingles(batch.column(batch.schema.get_field_index(name)))
-                cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
-                sides.append([(element[x:y], times[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)])
-            keep = np.array([similarity(a, b) >= similar - 1e-9 for a, b in zip(*sides, strict=True)])
-            yield batch.filter(pa.array(keep)).select(["_l", "_k"])
+            shared, weight = np.isin(b[0], a[0]), int(b[1].sum())
+            own, times = b[0][~shared], b[1][~shared]
+            order = np.argsort(own)
+            most = np.searchsorted(np.cumsum(times[order]), (1 - similar + EPSILON) * weight, "right") + 1
+            out.append((ok, weight, weight - int(times.sum()), len(a[0]) - int(shared.sum()), own[order][:most].view(np.int64)))
+        cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)]
+        keep = ["_l", "_k", "_large"]
+        return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *cols], [*keep, "_ok", "_w", "_wl", "_lacks", "_own"])
 
     def small(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
-                yield from rows([batch.slice(at, 100)])
+                yield rows(batch.slice(at, 100))
 
     joined = pairs.join(texts.select(F.col("_k").alias("_l"), F.col("_text").alias("_a")), "_l").join(texts.select("_k", F.col("_text").alias("_b")), "_k")
-    return joined.select("_l", "_k", "_a", "_b").mapInArrow(small, "_l long, _k long")
+    return joined.select("_l", "_k", "_large", "_a", "_b").mapInArrow(small, schema)
 
 
 def needed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -122,43 +139,82 @@ def needed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(keys) if keys.count() <= FEW else keys, "_k", "left_semi")
 
 
+def parted(group: DataFrame, similar: float) -> DataFrame:
+    """(_key, _k): smaller buckets of members (_l, _k, _c, ...) of leaders' groups, so that any two of one group that may be similar share one.
+
+    Order a member's shingles: those besides the leader's first. Two similar members share one among the first fifth (1 - similar) of
+    their weights. Either it is none of the leader's: they share a bucket by it. Or both have four fifths on the leader's shingles;
+    then, if none of their own are common, m has at most ``_wl`` less the leader's shingles that s lacks and m doesn't in common
+    with s, and so the other way. With x and y the shares in common, similarity is at most 1 / (1 / x + 1 / y - 1).
+    Members of equal figures are judged as one.
+    """
+    figures = ["_w", "_wl", "_lacks"]
+    by_own = group.select("_l", "_k", F.explode("_own").alias("_e")).select(F.xxhash64("_l", "_e").alias("_key"), "_k")
+    near = group.where(F.col("_wl") >= (similar - EPSILON) * F.col("_w"))
+    kinds = near.groupBy("_l", *figures).agg(F.min("_c").alias("_low"), F.max("_c").alias("_high"))
+    one, two = kinds.alias("one"), kinds.alias("two")
+    less = [F.col(f"{a}._wl") - F.greatest(F.col(f"{b}._lacks") - F.col(f"{a}._lacks"), F.lit(0)) for a, b in (("one", "two"), ("two", "one"))]
+    bound = (less[0] > 0) & (less[1] > 0) & (1 / (F.col("one._w") / less[0] + F.col("two._w") / less[1] - 1) >= similar - EPSILON)
+    once = F.struct(*[f"one.{c}" for c in figures]) <= F.struct(*[f"two.{c}" for c in figures])
+    open_ = F.least("one._low", "two._low") < F.greatest("one._high", "two._high")
+    may = one.join(two, (F.col("one._l") == F.col("two._l")) & once & open_ & bound)
+    key = F.xxhash64("one._l", *[f"{x}.{c}" for x in ("one", "two") for c in figures])
+    sides = may.select(key.alias("_key"), F.col("one._l").alias("_l"), F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{x}.{c}").alias(c) for c in figures]) for x in ("one", "two")]))).alias("_f"))
+    by_kind = sides.select("_key", "_l", "_f.*").join(near, ["_l", *figures]).select("_key", "_k")
+    return by_own.union(by_kind).distinct()
+
+
 def linked(docs: DataFrame, bands: DataFrame, similar: float) -> DataFrame | None:
     """(_k, _c): the least text hash of each linked text's component; None without links. Over texts that share a band.
 
-    A bucket is never expanded into all its pairs. In each round its least members (1, then 16, 256, ...) lead: they are verified
-    against the members of other components and leave the bucket. A bucket is done when its members are of one component. So
-    every two members of a bucket have been compared or are of one component: no link between components is lost.
+    A large bucket is never expanded into its pairs. The member that shares most with others (the original, among copies) leads: all
+    members are verified against it, which links most of them. What is left is parted into smaller buckets (see ``parted``) for
+    the next round. Small buckets, and what is left of any after ROUNDS, are compared pair by pair, but for members of one component. So
+    every two members of a bucket are compared, proven unlike or of one component: no link between components is lost.
     """
     once = bands.dropDuplicates(["_k"])
     buckets = checkpointed(once.select("_k", F.explode("_bands").alias("_key")).withColumn("_n", F.count("_k").over(W.partitionBy("_key"))).where("_n > 1").select("_key", "_k"))
     wanted = buckets.select("_k").distinct().join(bands.select("_id", "_k"), "_k").groupBy("_k").agg(F.min("_id").alias("_id"))
     texts = saved(docs.join(wanted, ["_id", "_k"]).select("_k", "_text").dropDuplicates(["_k"]))
-    edges, labels, leaders = None, None, 1
+    edges, labels, left = None, None, ROUNDS
+
+    def with_component(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_c", F.col("_k")) if labels is None else rows.join(labels, "_k", "left").withColumn("_c", F.coalesce("_c", "_k"))
+
     while True:
-        named = buckets.withColumn("_c", F.col("_k")) if labels is None else buckets.join(labels, "_k", "left").select("_key", "_k", F.coalesce("_c", "_k").alias("_c"))
-        mixed_ = named.groupBy("_key").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b")).where("_a < _b").select("_key")
-        buckets = checkpointed(named.join(mixed_, "_key"))
+        named = with_component(buckets)
+        open_ = named.groupBy("_key").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b"), F.count("_k").alias("_n")).where("_a < _b").select("_key", "_n")
+        buckets = checkpointed(named.join(open_, "_key").select("_key", "_k", "_c", "_n"))
         if buckets.isEmpty():
             return labels
-        lead = buckets.withColumn("_r", F.row_number().over(W.partitionBy("_key").orderBy("_k"))).where(F.col("_r") <= leaders).select("_key", F.col("_k").alias("_l"), F.col("_c").alias("_d"))
-        pairs = checkpointed(buckets.join(lead, "_key").where("_c <> _d AND _l < _k").select("_l", "_k").distinct())
-        new = checkpointed(verified(pairs, needed(texts, pairs), similar))
+        few = buckets.where((F.col("_n") <= SMALL) | F.lit(left == 0))
+        pairs = few.join(few.select("_key", F.col("_k").alias("_l"), F.col("_c").alias("_d")), "_key").where("_c <> _d AND _l < _k").select("_l", "_k", F.lit(False).alias("_large"))
+        if left:
+            many = buckets.where(F.col("_n") > SMALL)
+            fame = many.groupBy("_k").agg(F.sum("_n").alias("_f"))
+            lead = many.join(fame, "_k").groupBy("_key").agg(F.max(F.struct("_f", "_k")).alias("_top")).select("_key", F.col("_top._k").alias("_l"))
+            pairs = pairs.union(many.join(lead, "_key").where("_l <> _k").select("_l", "_k", F.lit(True).alias("_large")))
+        pairs = saved(pairs.groupBy("_l", "_k").agg(F.max("_large").alias("_large")))
+        found = saved(verified(pairs, needed(texts, pairs), similar))
+        new = found.where("_ok").select("_l", "_k")
         if not new.isEmpty():
-            edges = new if edges is None else checkpointed(edges.union(new))
+            edges = new if edges is None else saved(edges.union(new))
             labels = components(edges)
-        buckets = buckets.join(lead.select("_key", F.col("_l").alias("_k")), ["_key", "_k"], "left_anti").select("_key", "_k")
-        leaders *= 16
+        group = with_component(found.where("_large").drop("_large", "_ok"))
+        mixed_ = group.groupBy("_l").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b")).where("_a < _b").select("_l")
+        buckets = parted(saved(group.join(mixed_, "_l")), similar)
+        left = max(0, left - 1)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(_k, _c): for each node the least node of its component, by least neighbours and pointer jumping."""
-    both = checkpointed(edges.select("_l", "_k").union(edges.select("_k", "_l")).toDF("_k", "_o").distinct())
-    labels = checkpointed(both.groupBy("_k").agg(F.least(F.min("_o"), F.col("_k")).alias("_c")))
+    both = saved(edges.select("_l", "_k").union(edges.select("_k", "_l")).toDF("_k", "_o").distinct())
+    labels = saved(both.groupBy("_k").agg(F.least(F.min("_o"), F.col("_k")).alias("_c")))
     while True:
         near = both.join(labels.select(F.col("_k").alias("_o"), F.col("_c").alias("_d")), "_o").groupBy("_k").agg(F.min("_d").alias("_d"))
         hopped = labels.join(near, "_k").select("_k", F.col("_c").alias("_was"), F.least("_c", "_d").alias("_c"))
         jump = hopped.select(F.col("_k").alias("_c"), F.col("_c").alias("_e"))
-        new = checkpointed(hopped.join(jump, "_c", "left").select("_k", "_was", F.least("_c", F.coalesce("_e", "_c")).alias("_c")))
+        new = saved(hopped.join(jump, "_c", "left").select("_k", "_was", F.least("_c", F.coalesce("_e", "_c")).alias("_c")))
         labels = new.select("_k", "_c")
         if new.where("_c <> _was").isEmpty():
             return labels
