@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import NO_ID, checkpointed, id_back
+from weftline.llm.common import NO_ID, id_back, saved
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Control strings, fixed values, each cut after its first character: those of the template and of common models.
@@ -39,17 +39,22 @@ def _doubled(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Path totals by pointer doubling: joins a message's first 2^k ancestors with theirs until every path ends at its root.
 
     Returns (_t, _m, _n, _s): length and summed score of each message's path from the root, and for each k the table
-    (_t, _m, _up) of ancestors 2^k up. Messages on or below a cycle reach no root and are left out.
+    (_t, _m, _up) of ancestors 2^k up. A message that has reached its root takes part as a target only, so short trees cost
+    nothing while long ones go on. Messages on or below a cycle reach no root and are left out.
     """
-    step, jumps, left = checkpointed(links.select("_t", "_m", F.col("_p").alias("_up"), F.lit(1).cast("long").alias("_n"), "_s")), [], None
+    columns = ["_t", "_m", "_up", "_n", "_s"]
+    step, jumps, ended, left = saved(links.select("_t", "_m", F.col("_p").alias("_up"), F.lit(1).cast("long").alias("_n"), "_s")), [], None, None
     while True:
-        open_ = step.where("_up IS NOT NULL").count()
-        if not open_ or open_ == left:
-            return step.where("_up IS NULL").drop("_up"), jumps
-        left = open_
-        jumps.append(step.where("_up IS NOT NULL").select("_t", "_m", "_up"))
-        over = step.select("_t", F.col("_m").alias("_up"), F.col("_up").alias("_up2"), F.col("_n").alias("_n2"), F.col("_s").alias("_s2"))
-        step = checkpointed(step.join(over, ["_t", "_up"], "left").select("_t", "_m", F.col("_up2").alias("_up"), (F.col("_n") + F.coalesce("_n2", F.lit(0))).alias("_n"), (F.col("_s") + F.coalesce("_s2", F.lit(0.0))).alias("_s")))
+        new = step.where("_up IS NULL")
+        ended = new if ended is None else ended.union(new)
+        going = step.where("_up IS NOT NULL")
+        n = going.count()
+        if not n or n == left:
+            return ended.drop("_up"), jumps
+        left = n
+        jumps.append(going.select("_t", "_m", "_up"))
+        over = ended.union(going).select("_t", F.col("_m").alias("_up"), F.col("_up").alias("_up2"), F.col("_n").alias("_n2"), F.col("_s").alias("_s2"))
+        step = saved(going.join(over, ["_t", "_up"]).select("_t", "_m", F.col("_up2").alias("_up"), (F.col("_n") + F.col("_n2")).alias("_n"), (F.col("_s") + F.col("_s2")).alias("_s")).select(*columns))
 
 
 def paths(messages: DataFrame, best: int) -> DataFrame:
