@@ -15,8 +15,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
 #: So many keys of eight bytes are few enough for every task.
 FEW = 100_000
-#: Buckets of so many members are compared pair by pair; larger ones have a leader, for so many rounds.
-SMALL, ROUNDS = 6, 4
+#: Buckets of so many members (twice as many in each round) are compared pair by pair; larger ones have a leader, for so many rounds.
+SMALL, ROUNDS = 6, 5
 #: What rounding may take from a similarity.
 EPSILON = 1e-9
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -187,10 +187,11 @@ def linked(docs: DataFrame, bands: DataFrame, similar: float) -> DataFrame | Non
         buckets = checkpointed(named.join(open_, "_key").select("_key", "_k", "_c", "_n"))
         if buckets.isEmpty():
             return labels
-        few = buckets.where((F.col("_n") <= SMALL) | F.lit(left == 0))
+        small = SMALL << (ROUNDS - left)
+        few = buckets.where((F.col("_n") <= small) | F.lit(left == 0))
         pairs = few.join(few.select("_key", F.col("_k").alias("_l"), F.col("_c").alias("_d")), "_key").where("_c <> _d AND _l < _k").select("_l", "_k", F.lit(False).alias("_large"))
         if left:
-            many = buckets.where(F.col("_n") > SMALL)
+            many = buckets.where(F.col("_n") > small)
             fame = many.groupBy("_k").agg(F.sum("_n").alias("_f"))
             lead = many.join(fame, "_k").groupBy("_key").agg(F.max(F.struct("_f", "_k")).alias("_top")).select("_key", F.col("_top._k").alias("_l"))
             pairs = pairs.union(many.join(lead, "_key").where("_l <> _k").select("_l", "_k", F.lit(True).alias("_large")))
