@@ -45,10 +45,12 @@ class TextModel:
 
     def __init__(self, rows: list[tuple[str, str]]):
         self.languages = sorted({lang for _, lang in rows})
-        counts = np.full((len(self.languages) + 1, BUCKETS), 0.05)
+        counts = np.zeros((len(self.languages) + 1, BUCKETS))
         for i, lang in enumerate(self.languages):
             bucket, _ = _trigrams(pa.array([t for t, own in rows if own == lang], pa.string()))
-            counts[i] += np.bincount(bucket[bucket >= 0], minlength=BUCKETS)
+            counts[i] = np.bincount(bucket[bucket >= 0], minlength=BUCKETS)
+            # what stands for unseen trigrams never outweighs half of those seen, else a little text could not be told from the background
+            counts[i] += min(0.05, max(1.0, counts[i].sum()) / (2 * BUCKETS))
         counts[-1] = 1.0
         self.log = np.ascontiguousarray(np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32))
 
