@@ -142,3 +142,32 @@ def test_leak_edges(spark):
     assert overlaps(empty(spark), bench).count() == 0 and overlaps(edges(spark), bench.where("false")).count() == 0
     left = without_overlaps(edges(spark), bench)
     assert left.columns == edges(spark).columns and left.count() == 8
+
+
+def test_masks_fit_every_pattern_that_passes():
+    from itertools import combinations
+    from math import ceil
+
+    for width in range(1, 14):
+        spare = width - ceil(0.75 * width)
+        for gone in combinations(range(width), spare):
+            assert any(all(m == "0" or j + o not in gone for j, m in enumerate(mask)) for mask in decontaminate.masks_of(width) for o in range(width - len(mask) + 1)), (width, gone)
+    assert len(list(combinations(range(13), 3))) == 286 and max(map(len, decontaminate.MASKS)) <= 13
+
+
+def test_leaks_with_every_fourth_or_fifth_word_replaced_and_in_short_items(spark):
+    random.seed(6)
+    fresh = lambda n: [f"q{random.randrange(10**6)}" for _ in range(n)]
+    items = {n: fresh(n) for n in (1, 2, 3, 4, 6, 8, 9, 10, 11, 12, 13, 15, 20, 40)}
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    docs, want = [], set()
+    for n, w in items.items():
+        for step in (0, 4, 5):
+            for phase in range(step or 1):
+                told = [x if not step or (j + phase) % step else "other" for j, x in enumerate(w)]
+                width, same = min(13, n), [a == b for a, b in zip(told, w, strict=True)]
+                passes = any(4 * sum(same[j : j + width]) >= 3 * width for j in range(n - width + 1))
+                docs.append((len(docs), " ".join(fresh(20) + told + fresh(20))))
+                want |= {(docs[-1][0], n)} if passes else set()
+    got = {(r.doc_id, r.item_id) for r in overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == want and {n for _, n in want} == set(items)

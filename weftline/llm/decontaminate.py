@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import PLAIN, chunks, column, id_back, keyed, mixed, range_hashes, utf8, word_spans
 
-#: Fixed masks: a 1 is a word that must agree, a 0 one that may differ.
-MASKS = ("1110110111", "11011001011011", "110100110010101111")
+#: Fixed masks: a 1 is a word that must agree, a 0 one that may differ. Wherever up to 3 words of 13 differ, one of them still fits.
+MASKS = ("111111", "11101011", "1010011011", "1100100111", "11001010011", "110100011001")
 #: A run of so many aligned words (the whole item, if it is shorter) must agree in this share of them.
 WINDOW, SHARE = 13, 0.75
 #: Bytes of benchmark text that a task holds at a time; a larger benchmark is taken in several blocks, each against all rows.
@@ -21,6 +22,20 @@ BLOCK = 16 << 20
 _STEPS = mixed(np.arange(1, 64, dtype=np.uint64))
 
 
+def masks_of(width: int) -> tuple[str, ...]:
+    """Masks for items of so many words (13 for all longer ones), one of which fits however the words that may differ lie.
+
+    A shorter item is cut into two runs more than words of it may differ, and each two of them make a mask of its whole length.
+    """
+    if width >= WINDOW:
+        return MASKS
+    spare = width - math.ceil(SHARE * width)
+    if not spare:
+        return ("1" * width,)
+    run = [j * (spare + 2) // width for j in range(width)]
+    return tuple("".join("01"[r in pair] for r in run) for pair in combinations(range(spare + 2), 2))
+
+
 def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-case words of a string column, and each row's first word."""
     data, at = utf8(pc.utf8_lower(col))
@@ -43,24 +58,28 @@ def _seeds(words: np.ndarray, bounds: np.ndarray, mask: str) -> tuple[np.ndarray
 
 
 class Block:
-    """Part of the benchmark, ready to be looked up: words, items and, for each mask, sorted seeds."""
+    """Part of the benchmark, ready to be looked up: words, items and, for each mask of each width of item, sorted seeds."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = np.array([i for i, _ in items], np.int64)
         self.words, self.bounds = _words(pa.array([t for _, t in items], pa.string()))
         self.item = np.repeat(np.arange(len(items)), np.diff(self.bounds))
         self.masks = []
-        for mask in MASKS:
-            at, seed = _seeds(self.words, self.bounds, mask)
-            order = np.argsort(seed)
-            some = np.zeros(1 << 20, bool)
-            some[(seed >> np.uint64(44)).astype(np.int64)] = True
-            self.masks.append((mask, seed[order], at[order], some))
+        widths = np.minimum(WINDOW, np.diff(self.bounds))
+        for width in np.unique(widths[widths > 0]).tolist():
+            for mask in masks_of(width):
+                at, seed = _seeds(self.words, self.bounds, mask)
+                own = widths[self.item[at]] == width
+                at, seed = at[own], seed[own]
+                order = np.argsort(seed)
+                some = np.zeros(1 << 20, bool)
+                some[(seed >> np.uint64(44)).astype(np.int64)] = True
+                self.masks.append((mask, seed[order], at[order].astype(np.int32), some))
 
     def overlaps(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """(row, item, first word, words, agreeing words) of the best verified overlap of each row and item."""
         rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        found = []
+        found = [np.zeros((0, 3), np.int64)]
         for mask, seeds, places, some in self.masks:
             at, seed = _seeds(words, bounds, mask)
             maybe = np.flatnonzero(some[(seed >> np.uint64(44)).astype(np.int64)])
@@ -110,9 +129,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """Which documents contain which benchmark items, allowing for substituted words.
 
     Words are compared in lower case without ASCII punctuation. A seed hit fixes how a document and an item are aligned; the
-    overlap counts if, in some run of 13 aligned words (the item's length, if less), at least three quarters agree. Returns
+    overlap counts if, in some run of 13 aligned words (the item's length, if less), at least three quarters agree. The masks
+    miss no such run, whichever words differ; items of up to 3 words must agree whole, so one of a common word is in most texts. Returns
     ``doc_id, item_id, start`` (first word), ``n_words`` and ``n_same`` of the best overlap, one row for each pair. Null or
-    empty texts and items too short for every mask (under 10 words) overlap nothing; null ids stay null; repeated rows give
+    empty texts and items overlap nothing; null ids stay null; repeated rows give
     repeated results; an empty benchmark or table gives no rows.
     """
     source, out = keyed(docs, id_col, text_col).select("_id", "_text"), None
