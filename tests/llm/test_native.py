@@ -131,6 +131,14 @@ def test_line_dedup_equals_brute_force(spark):
     assert all(r.n_dropped == 1 for r in got if r.doc_id >= 10_000)
 
 
+def test_recurring_lines_go_whatever_share_of_the_text_they_are(spark):
+    shared = "This notice stands on every page of the collection and is far longer than what the page has to say.\n" * 3
+    alone = "One line that nobody else has\nAnother that only its copies have\n"
+    rows = [(i, f"{shared}{'abcdef'[i] * 7} alone") for i in range(6)] + [(10 + i, alone) for i in range(7)]
+    got = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (3, f"{'abcdef'[i] * 7} alone") for i in range(6)} | {10 + i: (0, alone) for i in range(7)}
+
+
 def test_line_edges(spark):
     got = line_dedup(edges(spark), min_docs=2).collect()
     assert len(got) == 12 and {r.n_lines for r in got if r.doc_id in (2, 3)} == {1}

@@ -17,10 +17,8 @@ FIELD = "<*>"
 DEPTH = 3
 #: A token prevails at its position if this share of a leaf's lines has it; a template needs this share of such positions.
 PREVAILS, CONSTANT = 0.6, 0.5
-#: Templates found in so many documents recur.
+#: Templates found in so many different texts recur; copies of one text are left to document dedup.
 MIN_DOCS = 5
-#: A document that would lose more than this share of its text is a copy of others, and left to document dedup.
-MOST = 0.5
 
 
 def masked(line: Column) -> Column:
@@ -50,24 +48,22 @@ def recurring_lines(docs: DataFrame, min_docs: int) -> DataFrame:
     fits = F.forall(F.zip_with("_template", F.split("_line", " "), lambda t, own: (t == FIELD) | (t == own)), lambda x: x)
     named = variants.join(templates, "_leaf", "left").select("_leaf", "_line", F.xxhash64("_leaf", F.when(F.coalesce(fits, F.lit(False)), F.array_join("_template", " ")).otherwise(F.col("_line"))).alias("_name"))
     lines_named = found.join(named, ["_leaf", "_line"]).select("_id", "_k", "_name", "_hash")
-    recurring = lines_named.select("_id", "_k", "_name").distinct().groupBy("_name").agg(F.count("_id").alias("_n")).where(F.col("_n") >= min_docs).select("_name")
+    recurring = lines_named.select("_k", "_name").distinct().groupBy("_name").agg(F.count("_k").alias("_n")).where(F.col("_n") >= min_docs).select("_name")
     return lines_named.join(recurring, "_name").groupBy("_id", "_k").agg(F.collect_set("_hash").alias("_lines"))
 
 
 def _cut(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Rows with ``_id, _k, _text`` and ``_out``, the text without those lines."""
     kept = F.filter(F.split("_text", "\n"), lambda line: ~F.array_contains(F.col("_lines"), F.xxhash64(line)))
-    new = docs.join(lines, ["_id", "_k"], "left").withColumn("_new", F.when(F.col("_lines").isNotNull(), F.array_join(kept, "\n")))
-    full = [F.length(F.replace(F.col(c), F.lit("\n"), F.lit(""))) for c in ("_new", "_text")]
-    return new.withColumn("_out", F.when(full[0] >= (1 - MOST) * full[1], F.col("_new")).otherwise(F.col("_text")))
+    return docs.join(lines, ["_id", "_k"], "left").withColumn("_out", F.when(F.col("_lines").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("_text")))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """Drops from each document the lines whose template recurs in at least ``min_docs`` documents.
+    """Drops from each document the lines whose template recurs in at least ``min_docs`` different texts.
 
-    Returns ``doc_id, n_lines, n_dropped, text``. Blank lines stay. A document that would lose more than half of its characters
-    is left as it is: its lines recur because it is a copy. Null texts are empty (one empty line); null ids stay null; rows
-    with equal ids and texts are dropped alike and count as one document each; an empty table gives no rows.
+    Returns ``doc_id, n_lines, n_dropped, text``. Blank lines stay. Lines go whatever share of the document they are; rows with
+    one and the same text count once, so that a text's copies alone drop nothing. Null texts are empty (one empty line); null
+    ids stay null; an empty table gives no rows.
     """
     source = keyed(docs, id_col, text_col)
     out = _cut(source, recurring_lines(source, min_docs))
