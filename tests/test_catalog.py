@@ -99,6 +99,38 @@ def test_mcnemar_by_hand(spark, b, c, p):
     assert spark.range(1).select(mcnemar_exact(F.lit(b), F.lit(c))).first()[0] == pytest.approx(p)
 
 
+@pytest.mark.parametrize(("b", "c"), [(1834, 37), (1000, 990), (700, 600), (20_000, 20_100), (37, 1834)])
+def test_mcnemar_of_many_discordant_pairs(spark, b, c):
+    from pyspark.sql import functions as F
+
+    from weftline.functions.stats import mcnemar_exact
+
+    log = lambda i: math.lgamma(b + c + 1) - math.lgamma(i + 1) - math.lgamma(b + c - i + 1) - (b + c) * math.log(2)
+    want = math.fsum(math.exp(log(i)) for i in range(min(b, c) + 1))
+    assert spark.range(1).select(mcnemar_exact(F.lit(b), F.lit(c))).first()[0] == pytest.approx(min(1.0, want), rel=1e-6, abs=1e-300)
+
+
+def test_bootstrap_draws_ten_thousand_resamples(spark, duck):
+    d = [r[0] for r in duck.execute("SELECT quality - toxic FROM labels JOIN documents USING (doc_id) ORDER BY doc_id").fetchall()]
+    n, low32 = len(d), 0xFFFFFFFF
+
+    def draw(k):
+        state = (20261002 + k * 0x6D2B79F5) & low32
+        t = ((state ^ state >> 15) * (state | 1)) & low32
+        t ^= (t + ((t ^ t >> 7) * (t | 61) & low32)) & low32
+        return ((t ^ t >> 14) & low32) / 4294967296
+
+    means = sorted(sum(d[int(draw(s * n + i) * n)] for i in range(1, n + 1)) / n for s in range(10_000))
+
+    def quantile(q):
+        at = q * 9999
+        return means[int(at)] + (at - int(at)) * (means[math.ceil(at)] - means[int(at)])
+
+    got = QUERIES["bootstrap_ci"](spark, DATA).first()
+    below, above = sum(m <= 0 for m in means) / 10_000, sum(m >= 0 for m in means) / 10_000
+    assert (got.low, got.high, got.p_one, got.p_two) == pytest.approx((quantile(0.025), quantile(0.975), below, min(1.0, 2 * min(below, above))))
+
+
 def test_recall_walks_like_a_plain_search(spark):
     import random
 

@@ -9,17 +9,25 @@ from pyspark.sql import functions as F
 def mcnemar_exact(b: Column, c: Column) -> Column:
     """min(1, P(X <= min(b, c))) for X binomial over b + c with one half; 1 without discordant pairs. Blind to direction.
 
-    The terms follow from one another and start at 2^-(b + c), so it holds for b + c up to about 1000.
+    Up to b + c = 1000 the terms follow from one another and start at 2^-(b + c). Beyond, where that underflows, the last term,
+    which is the largest, is kept as a logarithm and the sum as a multiple of it.
     """
     n, k = b + c, F.least(b, c)
-    first = F.struct(F.pow(F.lit(2.0), -n.cast("double")).alias("term"), F.pow(F.lit(2.0), -n.cast("double")).alias("sum"))
+    power = F.pow(F.lit(2.0), -n.cast("double"))
+    first = F.struct(power.alias("term"), power.alias("sum"))
+    large = F.struct((n * F.log(F.lit(0.5))).cast("double").alias("log"), F.lit(1.0).alias("sum"))
 
     def add(acc: Column, i: Column) -> Column:
         term = acc["term"] * (n - i + 1) / i
         return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
+    def add_large(acc: Column, i: Column) -> Column:
+        ratio = ((n - i + 1) / i).cast("double")
+        return F.struct((acc["log"] + F.log(ratio)).alias("log"), (1 + acc["sum"] / ratio).alias("sum"))
+
     steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), F.aggregate(steps, first, add)["sum"]))
+    tail = F.when(n <= 1000, F.aggregate(steps, first, add)["sum"]).otherwise(F.aggregate(steps, large, add_large, lambda acc: F.exp(acc["log"]) * acc["sum"]))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), tail))
 
 
 def normal_cdf(z: Column) -> Column:

@@ -39,14 +39,13 @@ def holm(tests: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
 def bootstrap_sums(differences: DataFrame, resamples: int, seed: int) -> DataFrame:
     """(resample, total): the sum of n differences (pos from 0, d) drawn with replacement, for each resample.
 
-    Each draw is a function of its own number, so resamples are dealt over tasks without a common state. The counts of how often
-    each position is drawn are grouped before they meet the differences.
+    Each draw is a function of its own number, so resamples are dealt over tasks without a common state, and each task sums what
+    its own draws meet.
     """
     n = differences.count()
     spark = differences.sparkSession
     draws = spark.range(resamples * n).select(F.floor(F.col("id") / n).alias("resample"), F.floor(draw(F.col("id") + 1, seed) * n).cast("long").alias("pos"))
-    times = draws.groupBy("resample", "pos").agg(F.count("*").alias("times"))
-    return times.join(differences, "pos").groupBy("resample").agg((F.sum(F.col("times") * F.col("d"))).alias("total"), F.sum("times").alias("n"))
+    return draws.join(differences, "pos").groupBy("resample").agg(F.sum("d").alias("total"), F.count("*").alias("n"))
 
 
 def interval(sums: DataFrame) -> DataFrame:

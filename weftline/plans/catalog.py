@@ -490,6 +490,12 @@ def mcnemar_exact(spark, sf_dir):
     return rounded(paired.tested(counts).select("lang", "b", "c", "p_one", "p_two"), "p_one", "p_two")
 
 
+@query(f"WITH {BC} SELECT lang, b, c, round({EXACT}, 6) AS p_one, round(least(1.0, 2 * {EXACT}), 6) AS p_two FROM bc")
+def mcnemar_exact_counts(spark, sf_dir):
+    """The test of all discordant pairs; ``mcnemar_exact`` tests the remainders of their counts that its SQL asks for."""
+    return rounded(paired.tested(paired.discordance(_arms(spark, sf_dir), ["lang"])).select("lang", "b", "c", "p_one", "p_two"), "p_one", "p_two")
+
+
 @query("""WITH p AS (SELECT lang AS name, count(*) FILTER (n_chars > 2000) / count(*) / 4 AS p FROM documents GROUP BY lang), k AS (SELECT *, row_number() OVER (ORDER BY p, name) AS i, count(*) OVER () AS k FROM p),
 a AS (SELECT *, max(least(1.0, (k - i + 1) * p)) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING) AS adjusted FROM k) SELECT name, round(p, 6) AS p, round(adjusted, 6) AS adjusted, adjusted <= 0.05 AS reject FROM a""")
 def holm_adjust(spark, sf_dir):
@@ -506,7 +512,7 @@ def bootstrap_ci(spark, sf_dir):
     parts = ids.withColumn("_p", F.floor(F.col("doc_id") / 100_000))
     sizes = parts.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     differences = parts.withColumn("_i", pos).join(sizes, "_p").select((F.col("_before") + F.col("_i") - 1).alias("pos"), "d")
-    return paired.interval(paired.bootstrap_sums(differences, 200, 20261002))
+    return paired.interval(paired.bootstrap_sums(differences, 10_000, 20261002))
 
 
 @query("SELECT lang, count(*) AS n, round(avg(n_chars), 4) AS mean, round(quantile_cont(n_chars, 0.5), 4) AS median, round(quantile_cont(n_chars, 0.975), 4) AS high, min(n_chars) AS least, max(n_chars) AS most, list_sort(list(n_chars))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS upper_median, list_sort(list(n_chars))[CAST(floor(0.9 * (count(*) - 1) + 0.5) AS BIGINT) + 1] AS nearest_90 FROM documents GROUP BY lang")
