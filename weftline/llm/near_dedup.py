@@ -15,7 +15,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
 #: So many keys of eight bytes are few enough for every task.
 FEW = 100_000
-#: Buckets of so many members (twice as many in each round) are compared pair by pair; larger ones have a leader, for so many rounds.
+#: Buckets of so many members that their leader leaves open are compared pair by pair in the next round (twice as many in each round);
+#: larger ones are parted, for so many rounds.
 SMALL, ROUNDS = 6, 5
 #: What rounding may take from a similarity.
 EPSILON = 1e-9
@@ -97,31 +98,37 @@ def band_rows(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """Each pair (_l, _k, _large) with ``_ok``: whether it reaches that similarity. Pairs of large groups also say how k stands to l:
-    its weight, its weight on l's shingles, how many of l's it lacks, and ``_own``, those it has besides l's, in order of hash, as far as
-    their weight first exceeds 1 - similar of its own.
+    """Each pair (_g, _l, _k, _large, _also, _common) with ``_ok``: whether it reaches that similarity.
+
+    Pairs of large groups also say how k stands to a reference, which is l's shingles, those of the text ``_also`` (if any) and the
+    shingles ``_common``: k's weight, its weight on the reference, how many of the reference it lacks, and ``_own``, its shingles
+    besides the reference, in order of hash, as far as their weight first exceeds 1 - similar of k's.
     """
-    schema = "_l long, _k long, _large boolean, _ok boolean, _w long, _wl long, _lacks long, _own array<long>"
+    schema = "_g long, _l long, _k long, _large boolean, _ok boolean, _w long, _wl long, _lacks long, _own array<long>"
 
     def rows(batch):
         sides = []
-        for name in ("_a", "_b"):
-            row, element, times = shingles(batch.column(batch.schema.get_field_index(name)))
+        for name in ("_a", "_b", "_c"):
+            row, element, times = shingles(batch.column(batch.schema.get_field_index(name)).fill_null(""))
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
             sides.append([(element[x:y], times[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)])
         out = []
-        for large, a, b in zip(batch.column(batch.schema.get_field_index("_large")).to_pylist(), *sides, strict=True):
+        common = batch.column(batch.schema.get_field_index("_common"))
+        for large, a, b, c, extra in zip(batch.column(batch.schema.get_field_index("_large")).to_pylist(), *sides, common, strict=True):
             ok = similarity(a, b) >= similar - EPSILON
             if not large:
                 out.append((ok, None, None, None, None))
                 continue
-            shared, weight = np.isin(b[0], a[0]), int(b[1].sum())
+            reference = a[0]
+            if extra.is_valid:
+                reference = np.unique(np.concatenate((a[0], c[0], extra.values.to_numpy().view(np.uint64))))
+            shared, weight = np.isin(b[0], reference), int(b[1].sum())
             own, times = b[0][~shared], b[1][~shared]
             order = np.argsort(own)
             most = np.searchsorted(np.cumsum(times[order]), (1 - similar + EPSILON) * weight, "right") + 1
-            out.append((ok, weight, weight - int(times.sum()), len(a[0]) - int(shared.sum()), own[order][:most].view(np.int64)))
+            out.append((ok, weight, weight - int(times.sum()), len(reference) - int(shared.sum()), own[order][:most].view(np.int64)))
         cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)]
-        keep = ["_l", "_k", "_large"]
+        keep = ["_g", "_l", "_k", "_large"]
         return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *cols], [*keep, "_ok", "_w", "_wl", "_lacks", "_own"])
 
     def small(batches):
@@ -130,81 +137,141 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
                 yield rows(batch.slice(at, 100))
 
     joined = pairs.join(texts.select(F.col("_k").alias("_l"), F.col("_text").alias("_a")), "_l").join(texts.select("_k", F.col("_text").alias("_b")), "_k")
-    return joined.select("_l", "_k", "_large", "_a", "_b").mapInArrow(small, schema)
+    if "_also" in pairs.columns:
+        joined = joined.join(texts.select(F.col("_k").alias("_also"), F.col("_text").alias("_c")), "_also", "left")
+    else:
+        joined = joined.withColumns({"_c": F.lit(None).cast("string"), "_common": F.lit(None).cast("array<bigint>")})
+    return joined.select("_g", "_l", "_k", "_large", "_a", "_b", "_c", "_common").mapInArrow(small, schema)
+
+
+def led_again(group: DataFrame) -> DataFrame:
+    """(_g, _l, _k, _large, _also, _common): pairs with a better leader for each group (_g, _l, _k, ...) whose leader lacks what most have.
+
+    A leader that is a copy itself lacks shingles that more than half of its group have: ``_common`` (few, as a member's own
+    weigh a fifth at most). The member that has most of them, and otherwise has and lacks least, leads the whole group again.
+    The reference is then both leaders' shingles with the common ones, so that all that members have besides is of their own, even if no
+    member has it all.
+    """
+    own = group.select("_g", "_k", F.explode("_own").alias("_e"))
+    half = group.groupBy("_g").agg(F.count("_k").alias("_members"))
+    common = saved(own.groupBy("_g", "_e").agg(F.count("_k").alias("_n")).join(half, "_g").where(F.col("_n") > F.col("_members") / 2).select("_g", "_e"))
+    has = own.join(common, ["_g", "_e"]).groupBy("_g", "_k").agg(F.count("_e").alias("_has"))
+    off = F.col("_lacks") + F.size("_own") - 2 * F.col("_has")
+    best = group.join(has, ["_g", "_k"]).groupBy("_g").agg(F.min(F.struct(off.alias("o"), F.col("_k").alias("k"))).alias("_best"))
+    lists = common.groupBy("_g").agg(F.collect_list("_e").alias("_common"))
+    led = group.select("_g", F.col("_l").alias("_also"), "_k").join(best.join(lists, "_g"), "_g")
+    return led.select("_g", F.col("_best.k").alias("_l"), "_k", F.lit(True).alias("_large"), "_also", "_common")
 
 
 def needed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts of the pairs' ends. Few keys (counted) go to all tasks, so that other texts need not be moved."""
-    keys = checkpointed(pairs.select("_k").union(pairs.select("_l")).distinct())
+    """The texts that the pairs name. Few keys (counted) go to all tasks, so that other texts need not be moved."""
+    ends = pairs.select("_k").union(pairs.select("_l"))
+    keys = checkpointed((ends.union(pairs.select("_also")) if "_also" in pairs.columns else ends).distinct())
     return texts.join(F.broadcast(keys) if keys.count() <= FEW else keys, "_k", "left_semi")
 
 
 def parted(group: DataFrame, similar: float) -> DataFrame:
-    """(_key, _k): smaller buckets of members (_l, _k, _c, ...) of leaders' groups, so that any two of one group that may be similar share one.
+    """(_key, _k): smaller buckets of members (_g, _k, _c, ...) of groups, so that any two of one group that may be similar share one.
 
-    Order a member's shingles: those besides the leader's first. Two similar members share one among the first fifth (1 - similar) of
-    their weights. Either it is none of the leader's: they share a bucket by it. Or both have four fifths on the leader's shingles;
-    then, if none of their own are common, m has at most ``_wl`` less the leader's shingles that s lacks and m doesn't in common
-    with s, and so the other way. With x and y the shares in common, similarity is at most 1 / (1 / x + 1 / y - 1).
+    Order a member's shingles: those besides the group's reference first. Two similar members share one among the first fifth
+    (1 - similar) of their weights. Either it is none of the reference's: they share a bucket by it. Or both have four fifths on the
+    reference's shingles; then, if none of their own are common, m has at most ``_wl`` less the reference's shingles that s lacks and
+    m doesn't in common with s, and so the other way. With x and y the shares in common, similarity is at most 1 / (1 / x + 1 / y - 1).
     Members of equal figures are judged as one.
     """
     figures = ["_w", "_wl", "_lacks"]
-    by_own = group.select("_l", "_k", F.explode("_own").alias("_e")).select(F.xxhash64("_l", "_e").alias("_key"), "_k")
+    by_own = group.select("_g", "_k", F.explode("_own").alias("_e")).select(F.xxhash64("_g", "_e").alias("_key"), "_k")
     near = group.where(F.col("_wl") >= (similar - EPSILON) * F.col("_w"))
-    kinds = near.groupBy("_l", *figures).agg(F.min("_c").alias("_low"), F.max("_c").alias("_high"))
+    kinds = near.groupBy("_g", *figures).agg(F.min("_c").alias("_low"), F.max("_c").alias("_high"))
     one, two = kinds.alias("one"), kinds.alias("two")
     less = [F.col(f"{a}._wl") - F.greatest(F.col(f"{b}._lacks") - F.col(f"{a}._lacks"), F.lit(0)) for a, b in (("one", "two"), ("two", "one"))]
     bound = (less[0] > 0) & (less[1] > 0) & (1 / (F.col("one._w") / less[0] + F.col("two._w") / less[1] - 1) >= similar - EPSILON)
     once = F.struct(*[f"one.{c}" for c in figures]) <= F.struct(*[f"two.{c}" for c in figures])
     open_ = F.least("one._low", "two._low") < F.greatest("one._high", "two._high")
-    may = one.join(two, (F.col("one._l") == F.col("two._l")) & once & open_ & bound)
-    key = F.xxhash64("one._l", *[f"{x}.{c}" for x in ("one", "two") for c in figures])
-    sides = may.select(key.alias("_key"), F.col("one._l").alias("_l"), F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{x}.{c}").alias(c) for c in figures]) for x in ("one", "two")]))).alias("_f"))
-    by_kind = sides.select("_key", "_l", "_f.*").join(near, ["_l", *figures]).select("_key", "_k")
+    may = one.join(two, (F.col("one._g") == F.col("two._g")) & once & open_ & bound)
+    key = F.xxhash64("one._g", *[f"{x}.{c}" for x in ("one", "two") for c in figures])
+    sides = may.select(key.alias("_key"), F.col("one._g").alias("_g"), F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{x}.{c}").alias(c) for c in figures]) for x in ("one", "two")]))).alias("_f"))
+    by_kind = sides.select("_key", "_g", "_f.*").join(near, ["_g", *figures]).select("_key", "_k")
     return by_own.union(by_kind).distinct()
 
 
+def leaders(many: DataFrame) -> DataFrame:
+    """(_key, _l): whom the members of each bucket (_key, _k, _n) are compared with.
+
+    A member's fame is the size of all its buckets together: among copies the original, which shares a bucket with almost each of
+    them, has most. A member's hub is the most famous one that it shares a bucket with, and a bucket's leader the hub that most of
+    its members have, whether it is in the bucket or not. So a family has one leader, and a member is compared with it once,
+    however many buckets it is in.
+    """
+    fame = many.groupBy("_k").agg(F.sum("_n").alias("_f"))
+    famous = saved(many.join(fame, "_k").select("_key", "_k", "_f"))
+    top = famous.groupBy("_key").agg(F.max(F.struct("_f", "_k")).alias("_top"))
+    hub = famous.join(top, "_key").groupBy("_k").agg(F.max("_top").alias("_hub"))
+    votes = famous.select("_key", "_k").join(hub, "_k").groupBy("_key", "_hub").agg(F.count("_k").alias("_votes"))
+    return votes.groupBy("_key").agg(F.max(F.struct("_votes", "_hub")).alias("_best")).select("_key", F.col("_best._hub._k").alias("_l"))
+
+
 def linked(docs: DataFrame, bands: DataFrame, similar: float) -> DataFrame | None:
     """(_k, _c): the least text hash of each linked text's component; None without links. Over texts that share a band.
 
-    A large bucket is never expanded into its pairs. The member that shares most with others (the original, among copies) leads: all
-    members are verified against it, which links most of them. What is left is parted into smaller buckets (see ``parted``) for
-    the next round. Small buckets, and what is left of any after ROUNDS, are compared pair by pair, but for members of one component. So
-    every two members of a bucket are compared, proven unlike or of one component: no link between components is lost.
+    A large bucket is never expanded into its pairs: its members are verified against its leader (see ``leaders``), which links most of
+    them. What is left of it, members of several components, is parted into smaller buckets (see ``parted``) for the next round.
+    Buckets of two, small ones that their leader leaves in several components, and what is left of any after ROUNDS, are compared
+    pair by pair, but for members of one component. So every two members of a bucket are compared, proven unlike or of one
+    component: no link between components is lost.
     """
-    once = bands.dropDuplicates(["_k"])
-    buckets = checkpointed(once.select("_k", F.explode("_bands").alias("_key")).withColumn("_n", F.count("_k").over(W.partitionBy("_key"))).where("_n > 1").select("_key", "_k"))
+    once = bands.dropDuplicates(["_k"]).select("_k", F.explode("_bands").alias("_key"))
+    shared = once.groupBy("_key").agg(F.count("_k").alias("_n")).where("_n > 1").select("_key")
+    buckets = saved(once.join(shared, "_key").select("_key", "_k"))
     wanted = buckets.select("_k").distinct().join(bands.select("_id", "_k"), "_k").groupBy("_k").agg(F.min("_id").alias("_id"))
     texts = saved(docs.join(wanted, ["_id", "_k"]).select("_k", "_text").dropDuplicates(["_k"]))
-    edges, labels, left = None, None, ROUNDS
+    edges, labels = None, None
 
     def with_component(rows: DataFrame) -> DataFrame:
         return rows.withColumn("_c", F.col("_k")) if labels is None else rows.join(labels, "_k", "left").withColumn("_c", F.coalesce("_c", "_k"))
 
-    while True:
-        named = with_component(buckets)
-        open_ = named.groupBy("_key").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b"), F.count("_k").alias("_n")).where("_a < _b").select("_key", "_n")
-        buckets = checkpointed(named.join(open_, "_key").select("_key", "_k", "_c", "_n"))
+    def still_open(rows: DataFrame) -> DataFrame:
+        named = with_component(rows)
+        mixed_ = named.groupBy("_key").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b"), F.count("_k").alias("_n")).where("_a < _b").select("_key", "_n")
+        return saved(named.join(mixed_, "_key").select("_key", "_k", "_c", "_n"))
+
+    def several(found: DataFrame) -> DataFrame:
+        """The large groups with members of several components."""
+        group = with_component(found.where("_large").drop("_large", "_ok"))
+        open_ = group.groupBy("_g").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b")).where("_a < _b").select("_g")
+        return saved(group.join(open_, "_g"))
+
+    for left in range(ROUNDS, -1, -1):
+        # buckets compared pair by pair now, and in the next round
+        now, then = (2 if left == ROUNDS else SMALL << (ROUNDS - left - 1)), SMALL << (ROUNDS - left)
+        buckets = still_open(buckets)
         if buckets.isEmpty():
-            return labels
-        small = SMALL << (ROUNDS - left)
-        few = buckets.where((F.col("_n") <= small) | F.lit(left == 0))
+            break
+        few = buckets.where((F.col("_n") <= now) | F.lit(left == 0))
         pairs = few.join(few.select("_key", F.col("_k").alias("_l"), F.col("_c").alias("_d")), "_key").where("_c <> _d AND _l < _k").select("_l", "_k", F.lit(False).alias("_large"))
         if left:
-            many = buckets.where(F.col("_n") > small)
-            fame = many.groupBy("_k").agg(F.sum("_n").alias("_f"))
-            lead = many.join(fame, "_k").groupBy("_key").agg(F.max(F.struct("_f", "_k")).alias("_top")).select("_key", F.col("_top._k").alias("_l"))
-            pairs = pairs.union(many.join(lead, "_key").where("_l <> _k").select("_l", "_k", F.lit(True).alias("_large")))
-        pairs = saved(pairs.groupBy("_l", "_k").agg(F.max("_large").alias("_large")))
+            many = buckets.where(F.col("_n") > now)
+            led = many.join(leaders(many), "_key").where("_l <> _k").select("_l", "_k", (F.col("_n") > then).alias("_large"))
+            pairs = pairs.union(led)
+        pairs = saved(pairs.groupBy("_l", "_k").agg(F.max("_large").alias("_large")).withColumn("_g", F.col("_l")))
         found = saved(verified(pairs, needed(texts, pairs), similar))
         new = found.where("_ok").select("_l", "_k")
         if not new.isEmpty():
             edges = new if edges is None else saved(edges.union(new))
             labels = components(edges)
-        group = with_component(found.where("_large").drop("_large", "_ok"))
-        mixed_ = group.groupBy("_l").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b")).where("_a < _b").select("_l")
-        buckets = parted(saved(group.join(mixed_, "_l")), similar)
-        left = max(0, left - 1)
+        if not left:
+            break
+        group = several(found)
+        again = saved(led_again(group))
+        if not again.isEmpty():
+            better = saved(verified(again, needed(texts, again), similar))
+            new = better.where("_ok AND _l <> _k").select("_l", "_k")
+            edges = saved(new if edges is None else edges.union(new))
+            labels = components(edges)
+            group = several(found.join(again.select("_g").distinct(), "_g", "left_anti").unionByName(better))
+        waiting = buckets.where((F.col("_n") > now) & (F.col("_n") <= then)).select("_key", "_k")
+        buckets = waiting.union(parted(group, similar))
+    return labels
 
 
 def components(edges: DataFrame) -> DataFrame:
