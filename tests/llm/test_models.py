@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.cases import DATA, documents, edges, empty
-from weftline.llm.language_id import TextModel, accepted_only, declared_in, domain_of, host_of, language_id
+from weftline.llm.language_id import DECLARED, SMOOTHING, SUFFIX, SUFFIXES, TEMPER, UNKNOWN, accepted_only, declared_in, domain_of, fitted, host_of, language_id, plain_text, sampled
 from weftline.llm.sentencepiece_codec import MODEL, encode, round_trip, with_decoded
 from weftline.llm.toxicity import fit, toxicity
 
@@ -16,13 +16,17 @@ SF = "/root/testdata/sf0.01"
 
 def test_language_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = docs.drop("source").join(language_id(docs).withColumnRenamed("lang", "told"), "doc_id")
+    # a model of few rows of each language, judged by the documents that it has not seen
+    model, seen = fitted(docs, rows=30), sampled(docs, "doc_id", "text", "lang", 30)
+    assert seen.groupBy("_l").count().where("count > 30").isEmpty()
+    got = docs.drop("source").join(seen.select(F.col("_text").alias("text")), "text", "left_anti").join(language_id(docs, model=model).withColumnRenamed("lang", "told"), "doc_id")
+    assert got.count() > 0.8 * docs.count()
     assert got.agg(F.avg((F.col("lang") == F.col("told")).cast("int"))).first()[0] > 0.99
     assert accepted_only(docs).count() > 0.99 * docs.count() and accepted_only(docs).columns == docs.columns
 
 
 def test_evidence_is_fused(spark):
-    model = TextModel([("the cat and the dog are here with them", "en"), ("le chat et le chien sont dans la maison avec eux", "fr")])
+    model = fitted(spark.createDataFrame([(1, "the cat and the dog are here with them", "en"), (2, "le chat et le chien sont dans la maison avec eux", "fr")], "doc_id long, text string, lang string"))
     rows = [(i, "the dog and the cat", f"http://a{i % 3}.site.com/x", "<html>") for i in range(60)]
     rows += [(100, "ok", "http://b.site.fr/x", '<html lang="fr">'), (101, "ok", "http://a1.site.com/", "<html class=x LANG='en'>"), (102, "ok", "https://u@c.org/fr/1", ""), (103, "", "http://a1.site.com/", ""), (104, "zzzz qqqq xxxx 漢字漢字漢字漢字漢字漢字", None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, url string, html string")
@@ -33,6 +37,59 @@ def test_evidence_is_fused(spark):
     assert got[103].lang == "en"
 
 
+def trigrams(text):
+    """The buckets of the byte trigrams of a text, byte by byte."""
+    data = [b if b >= 65 else 32 for b in text.lower().encode()] + [32]
+    out = []
+    for a, b, c in zip(data, data[1:], data[2:], strict=False):
+        if (b, c) != (32, 32):
+            key = (a * 0x9E3779B1 ^ b * 0x85EBCA6B ^ c * 0xC2B2AE35) & 0xFFFFFFFF
+            out.append(((key ^ key >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 17)
+    return out
+
+
+def test_posteriors_equal_bayes_by_hand(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").withColumn("shown", plain_text(F.col("html")))
+    docs = documents(spark)
+    learned = fitted(docs, rows=10**6)
+    counts = {}
+    for r in docs.where("text <> ''").collect():
+        own = counts.setdefault(r.lang, np.zeros(1 << 15))
+        np.add.at(own, trigrams(r.text), 1)
+    names = sorted(counts)
+    assert learned.languages == names
+    table = [counts[x] + min(0.05, counts[x].sum() / (2 << 15)) for x in names] + [np.ones(1 << 15)]
+    logs = [np.log(t / t.sum()) for t in table]
+    assert np.allclose(learned.log, logs, atol=1e-5)
+    rows = pages.select("page_id", "shown", "url", "html", host_of(F.col("url")).alias("host"), domain_of(host_of(F.col("url"))).alias("domain"), declared_in(F.col("html")).alias("declared")).collect()
+    ll = {r.page_id: [TEMPER * sum(t[b] for b in trigrams(r.shown)) for t in logs] for r in rows}
+    hosts, domains, whole = {}, {}, np.ones(len(names))
+    for r in rows:
+        x = np.exp(np.array(ll[r.page_id][:-1]) - max(ll[r.page_id][:-1]))
+        x = x / x.sum() if trigrams(r.shown) else np.zeros(len(names))
+        for level, key in ((hosts, r.host), (domains, r.domain)):
+            level[key] = level.get(key, 0) + x
+        whole = whole + x
+    got = {r.doc_id: r for r in language_id(pages, "page_id", "shown", None, "url", "html", model=learned).collect()}
+    assert len(got) == len(rows) and any(r.declared for r in got.values()) and any(r.suffix for r in got.values())
+    for r in rows:
+        prior = whole / whole.sum()
+        for sums in (domains[r.domain], hosts[r.host]):
+            prior = (sums + SMOOTHING * prior) / (sums.sum() + SMOOTHING)
+        first = r.url.split("://")[1].split("/")[1][:3].rstrip("/?#-")
+        suffix = first if first in names else SUFFIXES.get(r.host.rsplit(".", 1)[1])
+        weight = [a + np.log(p * (1 - UNKNOWN)) for a, p in zip(ll[r.page_id], prior, strict=False)]
+        for told, right in ((r.declared, DECLARED), (suffix, SUFFIX)):
+            if told in names:
+                weight = [w + np.log(right if x == told else (1 - right) / (len(names) - 1)) for w, x in zip(weight, names, strict=True)]
+        weight.append(ll[r.page_id][-1] + np.log(UNKNOWN))
+        post = np.exp(np.array(weight) - max(weight))
+        post = post / post.sum()
+        best = int(post.argmax())
+        assert got[r.page_id].lang == (names[best] if best < len(names) else None) and got[r.page_id].probability == pytest.approx(post[best], abs=1e-4)
+        assert got[r.page_id].accepted == (best < len(names) and post[best] >= 0.5 and bool(trigrams(r.shown)))
+
+
 def test_addresses(spark):
     row = spark.createDataFrame([("HTTP://me@News.Example.co.uk:80/a",), (None,), ("nothing",)], "u string").select(host_of(F.col("u")).alias("h"), domain_of(host_of(F.col("u"))).alias("d"), declared_in(F.lit("<HTML data-x='1' lang=de-DE>")).alias("l")).collect()
     assert [tuple(r) for r in row] == [("news.example.co.uk", "co.uk", "de"), (None, None, "de"), ("", "", "de")]

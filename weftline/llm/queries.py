@@ -11,7 +11,7 @@ from weftline.llm.chat_format import as_chain, chat_format, loss_texts, turns_ba
 from weftline.llm.common import id_back, table
 from weftline.llm.decontaminate import overlaps
 from weftline.llm.fingerprints import edited, fingerprint, likeness
-from weftline.llm.language_id import language_id
+from weftline.llm.language_id import fitted, language_id, plain_text
 from weftline.llm.line_dedup import line_dedup
 from weftline.llm.near_dedup import near_duplicates
 from weftline.llm.sentencepiece_codec import round_trip
@@ -49,7 +49,13 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id(table(spark, sf_dir, "documents")).select("doc_id", "lang", F.round("probability", 6).alias("probability"), "accepted")
+    """Documents (host: their source) and pages (text, declared language, address suffix and host from html and url), which have a ``page_id``."""
+    documents, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages").withColumn("shown", plain_text(F.col("html")))
+    model = fitted(documents)
+    none = F.lit(None).cast("long")
+    told = [F.col("lang"), F.round("probability", 6).alias("probability"), F.col("declared"), F.col("suffix"), F.col("accepted")]
+    own = language_id(documents, model=model).select("doc_id", none.alias("page_id"), *told)
+    return own.union(language_id(pages, "page_id", "shown", None, "url", "html", model=model).select(none.alias("doc_id"), F.col("doc_id").alias("page_id"), *told))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
