@@ -103,6 +103,24 @@ def test_similarity_and_signatures():
     assert (got[0] == got[1]).mean() == pytest.approx(probability_jaccard(a, b), abs=0.04)
 
 
+def overlaps_brute(docs, items):
+    """(document, item) pairs: some alignment has a run of 13 words (the item's length, if less) of which three quarters agree."""
+    found, told = set(), {i: words_of(t or "") for i, t in items.items()}
+    for d, text in docs.items():
+        own = np.array(words_of(text))
+        for i, item in told.items():
+            width = min(13, len(item))
+            if not width or len(own) < width or len(set(own) & set(item)) * 4 < 3 * width and len(set(item)) == len(item):
+                continue
+            for zero in range(width - len(item), len(own) - width + 1):
+                a, b = max(zero, 0), min(zero + len(item), len(own))
+                total = np.concatenate(([0], np.cumsum(own[a:b] == np.array(item[a - zero : b - zero]))))
+                if (4 * (total[width:] - total[:-width]) >= 3 * width).any():
+                    found.add((d, i))
+                    break
+    return found
+
+
 def planted(spark):
     random.seed(4)
     fresh = lambda n: [f"q{random.randrange(10**6)}" for _ in range(n)]
@@ -131,8 +149,10 @@ def test_leaks_on_the_documents(spark):
     for i, w in items.items():
         for j in range(len(w) - 12):
             grams.setdefault(tuple(w[j : j + 13]), set()).add(i)
+    got = {(r.doc_id, r.item_id) for r in overlaps(df, bench).collect()}
+    assert got == overlaps_brute(dict(texts(df)), {r.item_id: r.text for r in bench.collect()})
     exact = {(d, i) for d, t in texts(df) for w in [words_of(t)] for j in range(len(w) - 12) for i in grams.get(tuple(w[j : j + 13]), ())}
-    assert exact <= {(r.doc_id, r.item_id) for r in overlaps(df, bench).collect()}
+    assert exact <= got
 
 
 def test_leak_edges(spark):

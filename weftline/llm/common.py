@@ -6,10 +6,14 @@ extra input columns never clash. A null text counts as empty, a null id as ``NO_
 
 from __future__ import annotations
 
+import atexit
+import functools
+import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +41,19 @@ def id_back(col: str = "_id"):
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that driver and executors share; a local one only where the session names none and has no executors of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _local_root()
+
+
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="checkpoints-")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -50,8 +65,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new name for a folder of tables under the shared one."""
-    return f"{checkpoint_root(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+    """A new name for a folder of tables under the shared one, which is deleted when the driver's program ends."""
+    if not _folders:
+        atexit.register(_delete_folders)
+    _folders.append(f"{checkpoint_root(spark)}/tables-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+_folders: list[str] = []
+
+
+def _delete_folders() -> None:
+    jvm = SparkContext._jvm
+    if jvm is None or SparkContext._gateway is None:
+        return
+    conf = jvm.org.apache.hadoop.conf.Configuration()
+    for folder in _folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def saved(df: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Line dedup by a log-template tree of fixed depth, in DataFrame operations only.
 
 Tokens are what single spaces part; those with digits, at signs or slashes are variable fields. The tree's inner nodes are the
-number of tokens and the leading tokens; each leaf has one template, in which positions without a prevailing token are variable too. Unlike the
-sequential parser that the tree comes from, a leaf's template is a function of its lines, not of the order they arrive in.
+number of tokens and the leading tokens. A leaf's template has its prevailing tokens, and variable fields at the other positions. Lines that
+don't fit it, or all if too few tokens prevail, are split by their most decisive position, and each part has a template of its own, for a
+fixed number of rounds. Unlike the sequential parser that the tree comes from, templates are a function of the lines, not of their order.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ FIELD = "<*>"
 DEPTH = 3
 #: A token prevails at its position if this share of a leaf's lines has it; a template needs this share of such positions.
 PREVAILS, CONSTANT = 0.6, 0.5
+#: Levels below a leaf: how often lines that fit no template are split by their most decisive position.
+SPLITS = 2
 #: Templates found in so many different texts recur; copies of one text are left to document dedup.
 MIN_DOCS = 5
 
@@ -40,18 +43,44 @@ def recurring_lines(docs: DataFrame, min_docs: int) -> DataFrame:
     found = docs.join(wanted, ["_id", "_k"]).select("_id", "_k", F.explode(F.filter(lines, lambda s: F.array_contains(F.col("_leaves"), _leaf(s)))).alias("_own"))
     found = checkpointed(found.select("_id", "_k", _leaf(F.col("_own")).alias("_leaf"), masked(F.col("_own")).alias("_line"), F.xxhash64("_own").alias("_hash")))
     variants = checkpointed(found.groupBy("_leaf", "_line").agg(F.count("_id").alias("_n")))
-    tokens = variants.select("_leaf", "_n", F.posexplode(F.split("_line", " ")).alias("_i", "_token")).groupBy("_leaf", "_i", "_token").agg(F.sum("_n").alias("_n"))
-    places = tokens.groupBy("_leaf", "_i").agg(F.max(F.struct("_n", "_token")).alias("_top"), F.sum("_n").alias("_all"))
-    place = F.when(F.col("_top._n") >= PREVAILS * F.col("_all"), F.col("_top._token")).otherwise(FIELD)
-    templates = places.groupBy("_leaf").agg(F.sort_array(F.collect_list(F.struct("_i", place.alias("t")))).alias("_places")).select("_leaf", F.transform("_places", lambda x: x["t"]).alias("_template"))
-    templates = templates.where(F.size(F.filter("_template", lambda t: t != FIELD)) >= CONSTANT * F.size("_template"))
-    fits = F.forall(F.zip_with("_template", F.split("_line", " "), lambda t, own: (t == FIELD) | (t == own)), lambda x: x)
-    named = variants.join(templates, "_leaf", "left").select("_leaf", "_line", F.xxhash64("_leaf", F.when(F.coalesce(fits, F.lit(False)), F.array_join("_template", " ")).otherwise(F.col("_line"))).alias("_name"))
-    lines_named = found.join(named, ["_leaf", "_line"]).select("_id", "_k", "_name", "_hash")
+    names = _named(variants)
+    # a line of variable fields alone has no template: it is named by what it says
+    lines_named = found.join(names, ["_leaf", "_line"]).select("_id", "_k", F.coalesce("_name", F.xxhash64("_leaf", "_hash")).alias("_name"), "_hash")
     recurring = lines_named.select("_k", "_name").distinct().groupBy("_name").agg(F.count("_k").alias("_n")).where(F.col("_n") >= min_docs).select("_name")
     return lines_named.join(recurring, "_name").groupBy("_id", "_k").agg(F.collect_set("_hash").alias("_lines"))
 
 
+def _constant(template: Column) -> Column:
+    return F.size(F.filter(template, lambda t: t != FIELD)) >= CONSTANT * F.size(template)
+
+
+def _named(variants: DataFrame) -> DataFrame:
+    """(_leaf, _line, _name) of masked lines (_leaf, _line, _n): the hash of the template that a line fits, or of the line itself; null
+    if the line has too few tokens of its own for either.
+
+    Each round takes the lines of a node that fit its template, if enough of its tokens are constant, and splits the others by the position
+    that has fewest different tokens, but more than one.
+    """
+    rest, done = variants.select("_leaf", "_line", "_n", F.col("_leaf").alias("_node")), None
+    for level in range(SPLITS + 1):
+        tokens = rest.select("_node", "_n", F.posexplode(F.split("_line", " ")).alias("_i", "_token")).groupBy("_node", "_i", "_token").agg(F.sum("_n").alias("_n"))
+        places = tokens.groupBy("_node", "_i").agg(F.max(F.struct("_n", "_token")).alias("_top"), F.sum("_n").alias("_all"), F.count("_n").alias("_kinds"))
+        prevails = F.col("_top._n") >= PREVAILS * F.col("_all")
+        place = F.when(prevails, F.col("_top._token")).otherwise(FIELD)
+        decisive = F.min(F.when(~prevails, F.struct("_kinds", "_i")))["_i"]
+        nodes = places.groupBy("_node").agg(F.sort_array(F.collect_list(F.struct("_i", place.alias("t")))).alias("_places"), decisive.alias("_by")).select("_node", F.transform("_places", lambda x: x["t"]).alias("_template"), "_by")
+        own = F.split("_line", " ")
+        fits = _constant(F.col("_template")) & F.forall(F.zip_with("_template", own, lambda t, x: (t == FIELD) | (t == x)), lambda x: x)
+        last = level == SPLITS
+        name = F.when(fits, F.xxhash64("_leaf", F.array_join("_template", " "))).when(_constant(own), F.xxhash64("_leaf", "_line"))
+        judged = rest.join(nodes, "_node").select("_leaf", "_line", "_n", "_node", fits.alias("_fits"), name.alias("_name"), F.xxhash64("_node", "_by", F.get(own, F.coalesce("_by", F.lit(-1)))).alias("_next"))
+        judged = judged if last else checkpointed(judged)
+        ready = (judged if last else judged.where("_fits")).select("_leaf", "_line", "_name")
+        done = ready if done is None else done.union(ready)
+        rest = judged.where("NOT _fits").select("_leaf", "_line", "_n", F.col("_next").alias("_node"))
+    return done
+
+
 def _cut(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Rows with ``_id, _k, _text`` and ``_out``, the text without those lines."""
     kept = F.filter(F.split("_text", "\n"), lambda line: ~F.array_contains(F.col("_lines"), F.xxhash64(line)))

@@ -5,15 +5,19 @@ a word's end, so a text's pieces are its words' pieces. The distinct words of a
 depth-first order, and the forward state of each prefix is kept on a stack: a word starts from the prefix that it shares with
 the one before and only walks its own new characters.
 
-The vocabulary given is one of merges (byte-pair encoding), for which the best path by sums of scores is not the encoding.
-The forward state is therefore not a sum but the last piece of the prefix's encoding: for merges ranked by score, the encoding
-of a prefix of pieces is a prefix of the encoding, so exactly one piece that ends at a character continues the state before it
-(the two stay apart when merged alone). The pass is the same left-to-right recursion with one surviving arc per character.
+For a vocabulary of log-probabilities (a unigram model) the state of a prefix is the score of its best path and where that path's
+last piece begins: Viterbi's forward pass, shared by all words with the prefix.
+
+The vocabulary at MODEL is one of merges (byte-pair encoding), for which the best path by sums of scores is not the encoding. There
+the state is the last piece of the prefix's encoding: for merges ranked by score, the encoding of a prefix of pieces is a prefix
+of the encoding, so exactly one piece that ends at a character continues the state before it (the two stay apart when merged
+alone). The pass is the same left-to-right recursion with one surviving arc per character.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -25,25 +29,28 @@ from weftline.llm.common import chunks, range_hashes, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Distinct words whose encodings a worker keeps from batch to batch; beyond it it starts anew.
-KEPT_WORDS = 600_000
+#: Distinct words that a task keeps from batch to batch, and pairs of pieces that a worker keeps; beyond it they start anew.
+KEPT_WORDS, KEPT_PAIRS = 300_000, 250_000
 #: Bytes of text encoded together.
-BATCH = 1 << 21
+BATCH = 1 << 20
 #: A longer word is encoded by plain merging, as its trie branch would share nothing.
 LONG_WORD = 64
+#: What a character outside a unigram vocabulary scores below its least piece, a fixed value.
+UNKNOWN_PENALTY = 10.0
 #: Ids from here on stand for characters that are no piece, while a word is encoded.
 LONE = 1 << 22
 
 
 @dataclass
 class Vocabulary:
-    """Pieces with their scores, the byte pieces, and what each id decodes to."""
+    """Pieces with their scores, the byte pieces, what each id decodes to, and whether scores rank merges (else they are log-probabilities)."""
 
     pieces: list[str]
     ids: dict[str, int]
     scores: list[float]
     byte_ids: list[int]
     decoded: list[bytes]
+    merges: bool = True
 
 
 def load(model: str = MODEL) -> Vocabulary:
@@ -57,7 +64,10 @@ def load(model: str = MODEL) -> Vocabulary:
     decoded = [b"" if read.is_control(i) or read.is_unknown(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
     for b, i in enumerate(byte_ids):
         decoded[i] = bytes([b])
-    return Vocabulary(pieces, plain, [read.get_score(i) for i in range(len(pieces))], byte_ids, decoded)
+    scores = [read.get_score(i) for i in range(len(pieces))]
+    # a model of merges scores its pieces 0, -1, -2 and so on
+    merges = all(scores[i].is_integer() for i in plain.values())
+    return Vocabulary(pieces, plain, scores, byte_ids, decoded, merges)
 
 
 class Encoder:
@@ -70,8 +80,9 @@ class Encoder:
         for piece, i in vocabulary.ids.items():
             for start in range(1, len(piece)):
                 self.ends.setdefault(piece[start:], -1)
-            if self.merge(piece) == [piece]:
+            if not vocabulary.merges or self.merge(piece) == [piece]:
                 self.ends[piece] = i
+        self.least = min((vocabulary.scores[i] for i in vocabulary.ids.values()), default=0.0) - UNKNOWN_PENALTY
         self.apart: dict[int, bool] = {}
         self.forget()
 
@@ -80,18 +91,33 @@ class Encoder:
         self.flat, self.at, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
 
     def merge(self, text: str) -> list[str]:
-        """The encoding by its definition: again and again, the adjacent pair of best score, leftmost among equals."""
-        ids, scores, parts = self.v.ids, self.v.scores, list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                got = ids.get(parts[i] + parts[i + 1])
-                if got is not None and (best is None or scores[got] > best):
-                    best, at = scores[got], i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """The encoding by its definition: again and again, the adjacent pair of best score, leftmost among equals.
+
+        Pairs wait in a heap, so that a word of n characters takes n log n steps.
+        """
+        ids, scores, parts, n = self.v.ids, self.v.scores, list(text), len(text)
+        after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < n:
+                got = ids.get(parts[i] + parts[after[i]])
+                if got is not None:
+                    heappush(heap, (-scores[got], i, len(parts[i]), len(parts[after[i]])))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, i, left, right = heappop(heap)
+            j = after[i]
+            if len(parts[i]) != left or j >= n or len(parts[j]) != right:
+                continue  # one of the two has been merged since
+            parts[i], parts[j] = parts[i] + parts[j], ""
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(before[i])
+            offer(i)
+        return [p for p in parts if p]
 
     def text(self, piece: int) -> str:
         return chr(piece - LONE) if piece >= LONE else self.v.pieces[piece]
@@ -100,14 +126,48 @@ class Encoder:
         key = left << 23 | right
         known = self.apart.get(key)
         if known is None:
-            if len(self.apart) > 1_000_000:
+            if len(self.apart) > KEPT_PAIRS:
                 self.apart.clear()
             a, b = self.text(left), self.text(right)
             known = self.apart[key] = self.merge(a + b) == [a, b]
         return known
 
+    def best_paths(self, words: list[str]):
+        """Yields the pieces of the best path of each of the sorted words, depth first through their trie."""
+        # for each prefix on the branch: its best path's score and last piece, and where that starts
+        total, last, begins, before = [0.0], [0], [0], ""
+        ends, scores = self.ends, self.v.scores
+        for word in words:
+            shared = 0
+            for a, b in zip(word, before, strict=False):
+                if a != b:
+                    break
+                shared += 1
+            del total[shared + 1 :], last[shared + 1 :], begins[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                start = end - 1
+                piece = ends.get(word[start], -1)
+                best, chosen, at = total[start] + self.least, LONE + ord(word[start]), start
+                while True:
+                    if piece >= 0 and total[start] + scores[piece] > best:
+                        best, chosen, at = total[start] + scores[piece], piece, start
+                    start -= 1
+                    if start < 0 or (piece := ends.get(word[start:end])) is None:
+                        break
+                total.append(best)
+                last.append(chosen)
+                begins.append(at)
+            before, parts, end = word, [], len(word)
+            while end:
+                parts.append(last[end])
+                end = begins[end]
+            yield parts[::-1]
+
     def forward(self, words: list[str]):
         """Yields the pieces of each of the sorted words, depth first through their trie."""
+        if not self.v.merges:
+            yield from self.best_paths(words)
+            return
         # the state of each prefix on the branch: its last piece, and where that starts
         last, begins, before = [0], [0], ""
         ends, apart = self.ends, self.stay_apart
@@ -212,7 +272,7 @@ _encoders: dict[int, Encoder] = {}
 
 def _encoder(shared) -> Encoder:
     """The worker's own encoder, kept from task to task."""
-    key = hash(tuple(shared.value.pieces))
+    key = hash((tuple(shared.value.pieces), tuple(shared.value.scores)))
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(shared.value)
@@ -235,6 +295,9 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, ids_col:
             ids, at = own.encode(batch.column(batch.schema.get_field_index("_text")))
             rest = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in rest), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], [*rest, ids_col])
+        # an idle worker holds no more than the vocabulary
+        own.forget()
+        pa.default_memory_pool().release_unused()
 
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     read = docs.select(row.alias("_row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
@@ -242,7 +305,13 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, ids_col:
 
 
 def with_decoded(encoded: DataFrame, model: str = MODEL, ids_col: str = "piece_ids", out_col: str = "decoded") -> DataFrame:
-    """The input's columns and ``decoded``, the text of its ids (null ids: null)."""
+    """The input's columns and ``decoded``, the text of its ids (null ids: null; no ids: the empty text).
+
+    Every row is decoded by itself, so ties and repeated rows give equal results; an empty table gives no rows. A column of the
+    name ``out_col`` that is there already is an error.
+    """
+    if out_col in encoded.columns:
+        raise ValueError(f"there is a column {out_col} already: name another out_col")
     shared = encoded.sparkSession.sparkContext.broadcast(load(model).decoded)
 
     def rows(batches):
