@@ -94,17 +94,46 @@ def test_policy():
     assert len(p.errors) == 4 and any("overrides a" in w for w in p.warnings)
 
 
-def test_streams(spark, tmp_path):
-    from weftline.streaming.sessions import activity, first_selection
-
-    for n, rows in enumerate([[(1, 5), (1, 3), (2, 9)], [(1, 3), (1, 1)]]):
-        spark.createDataFrame(rows, "session long, idx long").coalesce(1).write.parquet(str(tmp_path / f"in/b{n}"))
-    source = spark.readStream.schema("session long, idx long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    q = first_selection(source).writeStream.format("memory").queryName("places").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
-    q.processAllAvailable()
-    q.stop()
-    got = {(r.session, r.idx): r.place for r in spark.table("places").collect()}
-    assert sorted(p for (s, _), p in got.items() if s == 1) == [0, 1, 2] and got[2, 9] == 0
+def streamed(spark, tmp_path, schema, batches, build):
+    """The rows that a stream of the batches, one file each, has given when it has read all."""
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).selectExpr("* except (ts)", "timestamp_seconds(ts * 60) ts").coalesce(1).write.parquet(str(tmp_path / f"in/b{n}"))
+    read = spark.read.parquet(str(tmp_path / "in/b0")).schema
+    source = spark.readStream.schema(read).option("maxFilesPerTrigger", 1).option("latestFirst", "false").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    name = f"got_{build.__name__}"
+    query = build(source).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    return spark.table(name).collect()
+
+
+def test_first_selection_as_a_stream(spark, tmp_path):
+    from weftline.streaming.sessions import first_selection
+
+    batches = [[(1, 5, 1), (1, 3, 1), (2, 9, 1)], [(1, 3, 2), (1, 1, 3)], [(3, 1, 300)], [(3, 1, 301)], [(2, 9, 302)]]
+    got = streamed(spark, tmp_path, "session long, idx long, ts long", batches, first_selection)
+    assert sorted((r.session, r.idx, r.place, r.updates) for r in got) == [(1, 1, 2, 2), (1, 3, 0, 1), (1, 5, 1, 1), (2, 9, 0, 1), (2, 9, 0, 1), (3, 1, 0, 1)]  # the state of 2 had gone
+
+
+def test_deliveries_once_as_a_stream(spark, tmp_path):
+    from weftline.streaming.sessions import once
+
+    batches = [[(1, "a", 0), (1, "a", 1), (2, "a", 1)], [(1, "a", 4), (1, "b", 5)], [(1, "b", 6), (1, "c", 6)]]
+    got = streamed(spark, tmp_path, "session long, payload string, ts long", batches, once)
+    assert sorted((r.session, r.payload) for r in got) == [(1, "a"), (1, "b"), (1, "c"), (2, "a")]
+
+
+def test_late_rows_of_a_stream_are_not_counted(spark, tmp_path):
+    from weftline.streaming.sessions import activity
+
+    # the fourth batch is hours behind the second, whose watermark ends the first window (late rows are told by the watermark one batch ago)
+    batches = [[("x", 1.0, 5), ("y", 2.0, 6), ("x", 3.0, 7)], [("x", 1.0, 200)], [("x", 1.0, 201)], [("x", 9.0, 8)], [("x", 1.0, 400)]]
+    got = streamed(spark, tmp_path, "event_type string, value double, ts long", batches, activity)
+    assert sorted((r.event_type, r.n, r.total) for r in got if r.start.hour == 0) == [("x", 2, 4.0), ("y", 1, 2.0)]
+
+
+def test_activity_of_a_table(spark):
+    from weftline.streaming.sessions import activity
+
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("cast(ts as timestamp) ts", "event_type", "value")
     assert activity(events).agg({"n": "sum"}).first()[0] == events.count()
 

@@ -21,10 +21,10 @@ def per_token_cost(hit_rate: Column, hit: Column, miss: Column) -> Column:
 
 
 def break_even_ratio(hit_rate: Column, hit: Column, miss: Column) -> Column:
-    """How many tokens must go for each token whose cache entry is lost: h (miss - hit) / (h hit + (1 - h) miss); 0 if that is nothing."""
-    h = F.least(F.greatest(hit_rate, F.lit(0.0)), F.lit(1.0))
+    """How many tokens must go for each token whose cache entry is lost, at which a removal pays off after one step: the price of
+    losing an entry over the mean price of a token; 0 where that is nothing."""
     cost = per_token_cost(hit_rate, hit, miss)
-    return F.when(cost > 0, h * (miss - hit) / cost).otherwise(0.0)
+    return F.when(cost > 0, (miss - hit) / cost).otherwise(0.0)
 
 
 def reselect(removed: Column, after: Column, steps: Column, hit_rate: Column, hit: Column, miss: Column) -> dict[str, Column]:

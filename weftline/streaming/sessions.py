@@ -22,11 +22,11 @@ def once(deliveries: DataFrame, late: str = "10 minutes") -> DataFrame:
     return deliveries.withWatermark("ts", late).dropDuplicatesWithinWatermark(["session", "payload"])
 
 
-def first_selection(rows: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
-    """(session, idx, place, updates): segments in order of first selection, as they arrive.
+def first_selection(rows: DataFrame, late: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
+    """(session, idx, place, updates): segments of (session, idx, ts) in order of first selection, as they arrive.
 
-    A session's places survive from batch to batch; its state goes after ``idle_ms`` without rows, so that state is bounded by the
-    sessions at work. A batch's new segments are placed by idx.
+    A session's places survive from batch to batch; its state goes once the watermark is ``idle_ms`` past its last row, so that state
+    is bounded by the sessions at work, and an idle stream asks for no more batches. A batch's new segments are placed by idx.
     """
 
     def place(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -34,11 +34,15 @@ def first_selection(rows: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
             state.remove()
             return
         known, updates = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        seen = set(known)
-        new = sorted({int(i) for batch in batches for i in batch["idx"]} - seen)
+        seen, found, last = set(known), set(), state.getCurrentWatermarkMs()
+        for batch in batches:
+            found |= {int(i) for i in batch["idx"]}
+            last = max(last, int(batch["ms"].max()))
+        new = sorted(found - seen)
         start = len(known)
         state.update((known + new, updates + 1))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(last + idle_ms)
         yield pd.DataFrame({"session": [key[0]] * len(new), "idx": new, "place": range(start, start + len(new)), "updates": updates + 1}).astype("int64")
 
-    return rows.select("session", "idx").groupBy("session").applyInPandasWithState(place, ORDER_SCHEMA, "known array<long>, updates long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = rows.withWatermark("ts", late).select("session", "idx", "ts", F.unix_millis("ts").alias("ms"))
+    return timed.groupBy("session").applyInPandasWithState(place, ORDER_SCHEMA, "known array<long>, updates long", "append", GroupStateTimeout.EventTimeTimeout)
