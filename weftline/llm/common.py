@@ -119,6 +119,7 @@ def chunks(batches, text: str = "_text", limit: int = CHUNK):
         cuts = np.unique(np.concatenate(([0], cuts, [batch.num_rows])))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # an idle worker holds no buffers
 
 
 def column(batch: pa.RecordBatch, name: str) -> np.ndarray:

@@ -13,6 +13,8 @@ from weftline.llm.common import NO_ID, checkpointed, chunks, utf8
 
 #: The text model is fitted on the whole texts of at most so many labelled rows of each language, those of least hash.
 TRAIN_ROWS = 1500
+#: So many rows of a language and a bound are few enough for every task.
+FEW_LANGUAGES = 10_000
 BUCKETS = 1 << 15
 #: Trigrams of a text depend on each other; their log-likelihoods count as this share of independent ones.
 TEMPER = 0.25
@@ -76,8 +78,9 @@ def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: in
     text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
     labelled = docs.where(lang.isNotNull() & (F.length(text) > 0)).select(lang.alias("_l"), text.alias("_text"), F.xxhash64(F.col(id_col), text).alias("_h"))
     bound = F.when(F.col("_n") > 2 * rows, -(2.0**63) + (2 * rows / F.col("_n")) * 2.0**64).otherwise(2.0**63)
-    bounds = labelled.groupBy("_l").agg(F.count("_h").alias("_n")).select("_l", bound.alias("_below"))
-    low = labelled.join(bounds, "_l").where(F.col("_h").cast("double") <= F.col("_below"))
+    bounds = checkpointed(labelled.groupBy("_l").agg(F.count("_h").alias("_n")).select("_l", bound.alias("_below")))
+    # a row for each language, counted: the texts are not moved before most are left out
+    low = labelled.join(F.broadcast(bounds) if bounds.count() <= FEW_LANGUAGES else bounds, "_l").where(F.col("_h").cast("double") <= F.col("_below"))
     least = F.row_number().over(W.partitionBy("_l").orderBy("_h", "_text"))
     return low.withColumn("_r", least).where(F.col("_r") <= rows).select("_l", "_text")
 

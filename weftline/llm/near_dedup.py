@@ -133,8 +133,10 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
 
     def small(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                yield rows(batch.slice(at, 100))
+            for part in chunks([batch], "_a"):
+                for some in chunks([part], "_b"):
+                    yield rows(some)
+        pa.default_memory_pool().release_unused()
 
     joined = pairs.join(texts.select(F.col("_k").alias("_l"), F.col("_text").alias("_a")), "_l").join(texts.select("_k", F.col("_text").alias("_b")), "_k")
     if "_also" in pairs.columns:
