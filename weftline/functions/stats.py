@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -75,11 +76,12 @@ def draw(k: Column, seed: int) -> Column:
     return t.bitwiseXOR(F.shiftrightunsigned(t, 14)) / 4294967296
 
 
-def upper_median(values: Column) -> Column:
-    """The element at floor(n / 2) of the sorted array, never an average."""
-    return F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
+def at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, Column]) -> DataFrame:
+    """(group, names of ranks): the values at ranks (from 0, expressions over the group's size ``n``) of each group in order.
 
-
-def nearest_rank(values: Column, q: float) -> Column:
-    """The element at round(q (n - 1)) of the sorted array."""
-    return F.element_at(F.array_sort(values), (F.floor(q * (F.size(values) - 1) + 0.5) + 1).cast("int"))
+    Rows are counted by value first, so that a running sum over the different values gives the ranks: no group is gathered.
+    """
+    order = W.partitionBy(group).orderBy(value)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c"))
+    upto = counts.withColumn("_upto", F.sum("_c").over(order)).withColumn("n", F.sum("_c").over(W.partitionBy(group)))
+    return upto.groupBy(group).agg(*[F.min(F.when(F.col("_upto") > at, F.col(value))).alias(name) for name, at in ranks.items()])

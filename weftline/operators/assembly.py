@@ -66,7 +66,10 @@ def within_budget(rows: DataFrame, max_tokens: int, max_segments: int) -> DataFr
 
 
 def not_contained(rows: DataFrame) -> DataFrame:
-    """(session, parent, idx, kept): siblings of one parent in order of ``pos``; one that an earlier kept text contains is dropped."""
+    """(session, parent, idx, kept): siblings of one parent in order of ``pos``; one that an earlier kept text contains is dropped.
+
+    As containment is transitive, that is one that any earlier text contains.
+    """
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         group, kept, out = group.sort_values("pos"), [], []
@@ -77,7 +80,7 @@ def not_contained(rows: DataFrame) -> DataFrame:
             out.append(fresh)
         return group.assign(kept=out)[["session", "parent", "idx", "kept"]]
 
-    return rows.select("session", "parent", "idx", "pos", "text").groupBy("session", "parent").applyInPandas(fold, "session long, parent long, idx long, kept boolean")
+    return rows.select("session", "parent", "idx", "pos", "text").groupBy("session", "parent").applyInPandas(fold, f"session long, parent {dict(rows.dtypes)['parent']}, idx long, kept boolean")
 
 
 def selection_order(steps: DataFrame) -> DataFrame:

@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 
 from weftline.functions import costs, stats, text
 from weftline.operators import assembly, chunker, matrix, paired, pairs, recall, rollup, segments, timejoin
+from weftline.plans.policy import RULES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: Thresholds for lexical scores, which are lower than a model's.
 LOW, HIGH = 0.2, 0.55
-#: Decay of 36 hours in milliseconds, walk depth, and arms of the cost queries.
-SCALE, DEPTH = 36 * 3_600_000.0, 3
+#: Decay of 36 hours in milliseconds, and the walk depth of the default policy.
+SCALE, DEPTH = 36 * 3_600_000.0, RULES["recall.depth"].default
 
 
 def query(sql: str | None = None):
@@ -184,13 +185,13 @@ def anchor_degrees(spark, sf_dir):
 
 def _score_log(spark, sf_dir):
     """A log of scores as they came: the lane's for newer topics, lexical ones for all, some pairs reversed."""
-    sc = pairs.topic_scores(event_segments(spark, sf_dir)).where("to_idx % 3 <> 0")
+    sc = pairs.topic_scores(event_segments(spark, sf_dir))
     lane = sc.where("w > 0.5").select("session", F.col("to_idx").alias("from_idx"), F.col("from_idx").alias("to_idx"), F.lit("s1-noul").alias("source"), (F.col("to_idx") * 100 + F.col("from_idx") % 2).alias("pos"))
     return lane.unionByName(sc.select("session", "from_idx", "to_idx", F.lit("lexical").alias("source"), (F.col("to_idx") * 100 + 1 - F.col("from_idx") % 2 + F.lit(0.5)).alias("pos")))
 
 
-@query(f"""WITH {EV}, {TOPIC}, log AS (SELECT session, to_idx AS from_idx, from_idx AS to_idx, 's1-noul' AS source, to_idx * 100 + from_idx % 2 AS pos FROM sc WHERE to_idx % 3 <> 0 AND w > 0.5
-  UNION ALL SELECT session, from_idx, to_idx, 'lexical', to_idx * 100 + 1 - from_idx % 2 + 0.5 FROM sc WHERE to_idx % 3 <> 0),
+@query(f"""WITH {EV}, {TOPIC}, log AS (SELECT session, to_idx AS from_idx, from_idx AS to_idx, 's1-noul' AS source, to_idx * 100 + from_idx % 2 AS pos FROM sc WHERE w > 0.5
+  UNION ALL SELECT session, from_idx, to_idx, 'lexical', to_idx * 100 + 1 - from_idx % 2 + 0.5  FROM sc),
 f AS (SELECT session, least(from_idx, to_idx) AS a, greatest(from_idx, to_idx) AS b, arg_min(source, pos) AS source FROM log GROUP BY ALL),
 o AS (SELECT session, CAST(sum(least(idx, 16)) AS BIGINT) AS offered FROM ev GROUP BY session)
 SELECT f.session, count(*) AS pairs, count(*) FILTER (source = 's1-noul') AS lane, count(*) FILTER (source = 'lexical') AS lexical, any_value(offered) AS offered, round(count(*) / any_value(offered), 6) AS coverage FROM f JOIN o ON o.session = f.session GROUP BY f.session""")
@@ -255,30 +256,31 @@ def _assembled(spark, sf_dir, threshold: float, source: str):
     placed = segments.tail_history(messages(spark, sf_dir))
     scores = pairs.lexical_scores(placed).withColumn("source", F.lit(source))
     seeds = placed.where("place = 'anchor'").select("session", F.col("idx").alias("seed"))
-    hits = recall.recall(seeds, recall.walkable(scores, seeds, threshold), 1)
+    hits = recall.recall(seeds, recall.walkable(scores, seeds, threshold), DEPTH)
     return placed, assembly.selected(placed, hits, scores, pairs.WINDOW)
 
 
 def _chosen_sql(threshold: float, judged: bool) -> str:
     admitted = "SELECT NULL AS session, NULL AS idx, NULL AS tokens WHERE false" if judged else "SELECT h.session, h.idx, h.tokens FROM hist h JOIN anchor a ON a.session = h.session WHERE h.idx BETWEEN a.idx - 16 AND a.idx - 1 AND h.session NOT IN (SELECT session FROM hit)"
     return f"""anchor AS (SELECT session, idx FROM placed WHERE place = 'anchor'), hist AS (SELECT session, idx, tokens FROM placed WHERE place = 'history'),
-hit AS (SELECT lex.session, from_idx AS idx FROM lex JOIN anchor ON anchor.session = lex.session AND anchor.idx = to_idx WHERE w > {threshold}),
+walk AS (SELECT session, idx, 0 AS depth FROM anchor UNION SELECT walk.session, from_idx, depth + 1 FROM walk JOIN lex ON lex.session = walk.session AND lex.to_idx = walk.idx WHERE w > {threshold} AND depth < {DEPTH}),
+hit AS (SELECT DISTINCT session, idx FROM walk WHERE depth > 0),
 found AS (SELECT hist.* FROM hist JOIN hit ON hit.session = hist.session AND hit.idx = hist.idx), adm AS ({admitted}),
 enough AS (SELECT session FROM found UNION SELECT session FROM adm),
 chosen AS (SELECT session, idx, tokens, 'recalled' AS why FROM found UNION ALL SELECT session, idx, tokens, 'unjudged' FROM adm UNION ALL SELECT session, idx, tokens, 'recency' FROM hist WHERE session NOT IN (SELECT session FROM enough))"""
 
 
-@query(f"WITH {SEG}, {LEX}, {PLACE}, {_chosen_sql(HIGH, False)} SELECT session, idx, tokens, why FROM chosen")
+@query(f"WITH RECURSIVE {SEG}, {LEX}, {PLACE}, {_chosen_sql(HIGH, False)} SELECT session, idx, tokens, why FROM chosen")
 def fail_open_window(spark, sf_dir):
     return _assembled(spark, sf_dir, HIGH, "lexical")[1]
 
 
-@query(f"WITH {SEG}, {LEX}, {PLACE}, {_chosen_sql(LOW, True)} SELECT session, idx, tokens, why FROM chosen")
+@query(f"WITH RECURSIVE {SEG}, {LEX}, {PLACE}, {_chosen_sql(LOW, True)} SELECT session, idx, tokens, why FROM chosen")
 def recency_fallback(spark, sf_dir):
     return _assembled(spark, sf_dir, LOW, "s1-noul")[1]
 
 
-@query(f"""WITH {SEG}, {LEX}, {PLACE}, {_chosen_sql(LOW, False)},
+@query(f"""WITH RECURSIVE {SEG}, {LEX}, {PLACE}, {_chosen_sql(LOW, False)},
 b AS (SELECT session, coalesce(sum(tokens) FILTER (place = 'pinned'), 0) AS pinned, coalesce(sum(tokens) FILTER (place = 'tail'), 0) AS tail, coalesce(sum(tokens) FILTER (place = 'anchor'), 0) AS anchor, coalesce(sum(tokens) FILTER (place = 'history'), 0) AS history FROM placed GROUP BY session),
 c AS (SELECT session, sum(tokens) AS recalled, max(why) AS why FROM chosen GROUP BY session),
 j AS (SELECT b.*, coalesce(recalled, 0) AS recalled, why FROM b LEFT JOIN c ON c.session = b.session)
@@ -289,7 +291,7 @@ def assembly_budget(spark, sf_dir):
     return assembly.budget(placed, chosen, 32_768, 2_768)
 
 
-@query(f"""WITH {SEG}, {LEX}, {PLACE}, {_chosen_sql(LOW, False)}, want AS (SELECT chosen.session, chosen.idx, seg.text FROM chosen JOIN seg ON seg.session = chosen.session AND seg.idx = chosen.idx)
+@query(f"""WITH RECURSIVE {SEG}, {LEX}, {PLACE}, {_chosen_sql(LOW, False)}, want AS (SELECT chosen.session, chosen.idx, seg.text FROM chosen JOIN seg ON seg.session = chosen.session AND seg.idx = chosen.idx)
 SELECT session, min(idx) AS idx, 'seg-' || sha256(text) AS payload FROM want WHERE (session, text) NOT IN (SELECT (session, text) FROM placed WHERE place IN ('tail', 'anchor')) GROUP BY session, text""")
 def delta_delivery(spark, sf_dir):
     placed, chosen = _assembled(spark, sf_dir, LOW, "lexical")
@@ -303,11 +305,10 @@ def delivery_budget(spark, sf_dir):
     return assembly.within_budget(seg, 300, 4)
 
 
-@query()
+@query(f"""WITH {SEG} SELECT a.session, a.kind AS parent, a.idx, NOT EXISTS (SELECT 1 FROM seg b WHERE b.session = a.session AND b.kind = a.kind AND b.idx < a.idx AND contains(b.text, a.text)) AS kept FROM seg a""")
 def sibling_redundancy(spark, sf_dir):
-    seg = messages(spark, sf_dir)
-    half = lambda n: seg.select("session", F.col("idx").alias("parent"), (F.col("idx") * 2 + n).alias("idx"), F.lit(n).alias("pos"), F.when(F.lit(n) == 0, F.col("text")).otherwise(F.substring("text", 3, 40)).alias("text"))
-    return assembly.not_contained(half(0).union(half(1)))
+    """Whole texts of each session; siblings are those of one kind."""
+    return assembly.not_contained(messages(spark, sf_dir).withColumn("parent", F.col("kind")).withColumn("pos", F.col("idx")))
 
 
 @query(f"""WITH {EV}, s AS (SELECT session, idx // 4 AS step, topic AS idx FROM ev GROUP BY ALL), f AS (SELECT session, idx, min(step) AS f FROM s GROUP BY ALL)
@@ -396,8 +397,10 @@ def long_report(spark, sf_dir):
     return rollup.long_format(rollup.scopes(rollup.stepped(event_segments(spark, sf_dir))))
 
 
-@query(f"""WITH {EV}, r AS (SELECT session, count(*) AS records, count(*) FILTER (event_type = 'error') AS errors, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM ev GROUP BY session)
-SELECT session, metric, value AS raw, value AS steps, CAST(0 AS BIGINT) AS difference FROM (UNPIVOT r ON records, errors, cents INTO NAME metric VALUE value)""")
+@query(f"""WITH {EV}, {STEPPED}, {ROLLED}, r AS (SELECT session, count(*) AS records, count(*) FILTER (event_type = 'error') AS errors, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM ev GROUP BY session),
+p AS (SELECT session, CAST(sum(records) AS BIGINT) AS records, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(cents) AS BIGINT) AS cents FROM rolled WHERE scope IN ('step', 'gap') GROUP BY session),
+x AS (SELECT session, metric, value AS raw FROM (UNPIVOT r ON records, errors, cents INTO NAME metric VALUE value)), y AS (SELECT session, metric, value AS steps FROM (UNPIVOT p ON records, errors, cents INTO NAME metric VALUE value))
+SELECT x.session, x.metric, raw, steps, raw - coalesce(steps, 0) AS difference FROM x LEFT JOIN y ON y.session = x.session AND y.metric = x.metric""")
 def reconcile_check(spark, sf_dir):
     facts = rollup.stepped(event_segments(spark, sf_dir))
     return rollup.reconciled(rollup.scopes(facts), facts)
@@ -425,7 +428,7 @@ def cost_summary(spark, sf_dir):
 
 @query(f"""WITH {EV}, {CALLS}, h AS (SELECT session, idx, uncached AS removed, cached AS after, 1 + idx % 8 AS steps, (idx % 5) / 4 AS h FROM calls)
 SELECT session, idx, round(steps * removed * (h * 0.07 + (1 - h) * 0.27), 6) AS saving, round(after * h * (0.27 - 0.07), 6) AS loss, round(steps * removed * (h * 0.07 + (1 - h) * 0.27), 6) > round(after * h * (0.27 - 0.07), 6) AS adopt,
-  CASE WHEN h * after > 0 THEN round(removed / (h * after), 6) END AS ratio, round(h * (0.27 - 0.07) / (h * 0.07 + (1 - h) * 0.27), 6) AS break_even, CAST(floor(after / 64) * 64 AS BIGINT) AS aligned FROM h""")
+  CASE WHEN h * after > 0 THEN round(removed / (h * after), 6) END AS ratio, round((0.27 - 0.07) / (h * 0.07 + (1 - h) * 0.27), 6) AS break_even, CAST(floor(after / 64) * 64 AS BIGINT) AS aligned FROM h""")
 def reselect_decision(spark, sf_dir):
     rows = _calls(spark, sf_dir).select("session", "idx", F.col("uncached").alias("removed"), F.col("cached").alias("after"), (1 + F.col("idx") % 8).alias("steps"), ((F.col("idx") % 5) / 4).alias("h"))
     hit, miss = F.lit(0.07), F.lit(0.27)
@@ -441,9 +444,9 @@ def error_histogram(spark, sf_dir):
     return rollup.error_histogram(ev, "session", F.concat(F.lit("kind "), F.floor(F.col("value") / 10).cast("string")))
 
 
-@query(f"WITH {EV} SELECT session, CASE WHEN count(DISTINCT topic) = 1 THEN min(topic) END AS topic FROM ev WHERE idx < 2 GROUP BY session")
+@query(f"WITH {EV} SELECT session, CASE WHEN count(DISTINCT topic) = 1 THEN min(topic) END AS topic FROM ev GROUP BY session")
 def knob_conflicts(spark, sf_dir):
-    return rollup.conflict_free(event_segments(spark, sf_dir).where("idx < 2"), "session", "topic")
+    return rollup.conflict_free(event_segments(spark, sf_dir), "session", "topic")
 
 
 ACTIVITY = "cells AS (SELECT a.session, a.idx, b.idx AS invocation, CASE WHEN a.idx = b.idx THEN 'root' WHEN a.idx > b.idx THEN 'absent' WHEN a.idx >= b.idx - 16 THEN 'candidate' ELSE 'existed' END AS state FROM ev a JOIN ev b ON a.session = b.session WHERE b.event_type = 'click')"
@@ -484,15 +487,9 @@ def paired_discordant(spark, sf_dir):
 EXACT = "least(1.0, (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) FROM unnest(range(0, least(b, c) + 1)) t(i)))"
 
 
-@query(f"WITH {BC}, small AS (SELECT lang, b % 40 AS b, c % 40 AS c FROM bc) SELECT lang, b, c, round({EXACT}, 6) AS p_one, round(least(1.0, 2 * {EXACT}), 6) AS p_two FROM small")
-def mcnemar_exact(spark, sf_dir):
-    counts = paired.discordance(_arms(spark, sf_dir), ["lang"]).select("lang", "n", (F.col("b") % 40).alias("b"), (F.col("c") % 40).alias("c"))
-    return rounded(paired.tested(counts).select("lang", "b", "c", "p_one", "p_two"), "p_one", "p_two")
-
-
 @query(f"WITH {BC} SELECT lang, b, c, round({EXACT}, 6) AS p_one, round(least(1.0, 2 * {EXACT}), 6) AS p_two FROM bc")
-def mcnemar_exact_counts(spark, sf_dir):
-    """The test of all discordant pairs; ``mcnemar_exact`` tests the remainders of their counts that its SQL asks for."""
+def mcnemar_exact(spark, sf_dir):
+    """The test of all discordant pairs of each language."""
     return rounded(paired.tested(paired.discordance(_arms(spark, sf_dir), ["lang"])).select("lang", "b", "c", "p_one", "p_two"), "p_one", "p_two")
 
 
@@ -518,12 +515,12 @@ def bootstrap_ci(spark, sf_dir):
 @query("SELECT lang, count(*) AS n, round(avg(n_chars), 4) AS mean, round(quantile_cont(n_chars, 0.5), 4) AS median, round(quantile_cont(n_chars, 0.975), 4) AS high, min(n_chars) AS least, max(n_chars) AS most, list_sort(list(n_chars))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS upper_median, list_sort(list(n_chars))[CAST(floor(0.9 * (count(*) - 1) + 0.5) AS BIGINT) + 1] AS nearest_90 FROM documents GROUP BY lang")
 def quantile_summary(spark, sf_dir):
     n = F.col("n_chars")
-    rows = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(n), 4).alias("mean"), F.round(F.percentile(n, F.lit(0.5)), 4).alias("median"), F.round(F.percentile(n, F.lit(0.975)), 4).alias("high"), F.min(n).alias("least"), F.max(n).alias("most"), F.collect_list(n).alias("_all"))
-    return rows.withColumn("upper_median", stats.upper_median(F.col("_all"))).withColumn("nearest_90", stats.nearest_rank(F.col("_all"), 0.9)).drop("_all")
+    rows = table(spark, sf_dir, "documents")
+    sums = rows.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(n), 4).alias("mean"), F.round(F.percentile(n, F.lit(0.5)), 4).alias("median"), F.round(F.percentile(n, F.lit(0.975)), 4).alias("high"), F.min(n).alias("least"), F.max(n).alias("most"))
+    ranks = {"upper_median": F.floor(F.col("n") / 2), "nearest_90": F.floor(0.9 * (F.col("n") - 1) + 0.5)}
+    return sums.join(stats.at_ranks(rows, "lang", "n_chars", ranks), "lang")
 
 
-@query("WITH d AS (SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1) SELECT digest, n, first_id, row_number() OVER (ORDER BY n DESC, first_id) AS place FROM d ORDER BY place LIMIT 50")
+@query("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1")
 def digest_groups(spark, sf_dir):
-    groups = table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
-    top = groups.orderBy(F.desc("n"), "first_id").limit(50)
-    return top.withColumn("place", F.row_number().over(W.partitionBy().orderBy(F.desc("n"), "first_id")))
+    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
