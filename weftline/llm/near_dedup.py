@@ -18,6 +18,8 @@ FEW = 100_000
 #: Buckets of so many members that their leader leaves open are compared pair by pair in the next round (twice as many in each round);
 #: larger ones are parted, for so many rounds.
 SMALL, ROUNDS = 6, 5
+#: So many members nearest to a leader tell what most of its group have.
+NEAREST = 8
 #: What rounding may take from a similarity.
 EPSILON = 1e-9
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -154,14 +156,16 @@ def led_again(group: DataFrame) -> DataFrame:
     The reference is then both leaders' shingles with the common ones, so that all that members have besides is of their own, even if no
     member has it all.
     """
-    own = group.select("_g", "_k", F.explode("_own").alias("_e"))
+    # what most members have, most of those nearest to the leader have: only their shingles are counted
+    near = W.partitionBy("_g").orderBy(F.col("_lacks") + F.size("_own"), "_k")
+    nearest = group.where(F.size("_own") > 0).select("_g", "_k", "_lacks", "_own").withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= NEAREST)
+    asked = nearest.groupBy("_g").agg(F.array_distinct(F.flatten(F.collect_list("_own"))).alias("_asked"))
     half = group.groupBy("_g").agg(F.count("_k").alias("_members"))
-    common = saved(own.groupBy("_g", "_e").agg(F.count("_k").alias("_n")).join(half, "_g").where(F.col("_n") > F.col("_members") / 2).select("_g", "_e"))
-    has = own.join(common, ["_g", "_e"]).groupBy("_g", "_k").agg(F.count("_e").alias("_has"))
-    off = F.col("_lacks") + F.size("_own") - 2 * F.col("_has")
-    best = group.join(has, ["_g", "_k"]).groupBy("_g").agg(F.min(F.struct(off.alias("o"), F.col("_k").alias("k"))).alias("_best"))
-    lists = common.groupBy("_g").agg(F.collect_list("_e").alias("_common"))
-    led = group.select("_g", F.col("_l").alias("_also"), "_k").join(best.join(lists, "_g"), "_g")
+    hits = group.join(asked, "_g").select("_g", F.explode(F.array_intersect("_own", "_asked")).alias("_e")).groupBy("_g", "_e").agg(F.count("_e").alias("_n"))
+    common = saved(hits.join(half, "_g").where(F.col("_n") > F.col("_members") / 2).groupBy("_g").agg(F.collect_list("_e").alias("_common")))
+    off = F.col("_lacks") + F.size("_own") - 2 * F.size(F.array_intersect("_own", "_common"))
+    best = group.join(common, "_g").groupBy("_g").agg(F.min(F.struct(off.alias("o"), F.col("_k").alias("k"))).alias("_best"))
+    led = group.select("_g", F.col("_l").alias("_also"), "_k").join(best.join(common, "_g"), "_g")
     return led.select("_g", F.col("_best.k").alias("_l"), "_k", F.lit(True).alias("_large"), "_also", "_common")
 
 
@@ -249,9 +253,12 @@ def linked(docs: DataFrame, bands: DataFrame, similar: float) -> DataFrame | Non
         buckets = still_open(buckets)
         if buckets.isEmpty():
             break
-        few = buckets.where((F.col("_n") <= now) | F.lit(left == 0))
+        # buckets whose pairs are no more than SMALL for each of their rows end the rounds
+        size = buckets.agg(F.count("_k").alias("rows"), F.sum((F.col("_n") - 1) / 2).alias("pairs")).first()
+        last = left == 0 or size["pairs"] <= SMALL * size["rows"]
+        few = buckets.where((F.col("_n") <= now) | F.lit(last))
         pairs = few.join(few.select("_key", F.col("_k").alias("_l"), F.col("_c").alias("_d")), "_key").where("_c <> _d AND _l < _k").select("_l", "_k", F.lit(False).alias("_large"))
-        if left:
+        if not last:
             many = buckets.where(F.col("_n") > now)
             led = many.join(leaders(many), "_key").where("_l <> _k").select("_l", "_k", (F.col("_n") > then).alias("_large"))
             pairs = pairs.union(led)
@@ -261,7 +268,7 @@ def linked(docs: DataFrame, bands: DataFrame, similar: float) -> DataFrame | Non
         if not new.isEmpty():
             edges = new if edges is None else saved(edges.union(new))
             labels = components(edges)
-        if not left:
+        if last:
             break
         group = several(found)
         again = saved(led_again(group))
