@@ -143,3 +143,47 @@ def test_round_trip_edges(spark):
     assert all(r.same for r in round_trip(spark.read.parquet(f"{DATA}/documents.parquet")).collect())
     with pytest.raises(ValueError, match="piece_ids"):
         encode(edges(spark).withColumnRenamed("kept", "piece_ids"))
+
+
+def test_best_paths_equal_all_segmentations():
+    import random
+
+    from weftline.llm.sentencepiece_codec import LONE, Encoder, Vocabulary
+
+    random.seed(3)
+    pieces = sorted({"".join(random.choices("abc▁", k=random.randrange(1, 5))) for _ in range(60)} | {"a", "b", "▁"})
+    scores = [-random.random() * 9 - 0.5 for _ in pieces]
+    encoder = Encoder(Vocabulary(pieces, {p: i for i, p in enumerate(pieces)}, scores, [0] * 256, [p.encode() for p in pieces], merges=False))
+
+    def best(word):
+        if not word:
+            return 0.0, []
+        found = []
+        for n in range(1, len(word) + 1):
+            i = encoder.v.ids.get(word[:n])
+            if i is not None or n == 1:
+                score, rest = best(word[n:])
+                found.append((score + (scores[i] if i is not None else encoder.least), [i if i is not None else LONE + ord(word[0]), *rest]))
+        return max(found, key=lambda x: x[0])
+
+    words = sorted({"▁" + "".join(random.choices("abcd", k=random.randrange(0, 9))) for _ in range(200)})
+    for word, got in zip(words, encoder.best_paths(words), strict=True):
+        # orders of the same pieces may tie
+        assert "".join(map(encoder.text, got)) == word and sum(encoder.least if i >= LONE else scores[i] for i in got) == pytest.approx(best(word)[0])
+    assert list(encoder.forward(words)) == list(encoder.best_paths(words))
+
+
+def test_long_words_are_merged_like_the_librarys():
+    import time
+
+    import pyarrow as pa
+    import sentencepiece
+
+    from weftline.llm.sentencepiece_codec import Encoder, load
+
+    library, encoder = sentencepiece.SentencePieceProcessor(model_file=MODEL), Encoder(load())
+    texts_ = ["abcdefghij" * 20_000, "x" * 300 + " and " + "z" * 65, "     " * 40 + "a", "漢字かな" * 500, "aa  b   c" * 50]
+    begun = time.perf_counter()
+    ids, at = encoder.encode(pa.array(texts_, pa.string()))
+    assert time.perf_counter() - begun < 60
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == library.encode(texts_)
