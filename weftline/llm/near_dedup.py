@@ -171,13 +171,13 @@ def led_again(group: DataFrame) -> DataFrame:
 
 def needed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The texts that the pairs name. Few keys (counted) go to all tasks, so that other texts need not be moved."""
-    ends = pairs.select("_k").union(pairs.select("_l"))
-    keys = checkpointed((ends.union(pairs.select("_also")) if "_also" in pairs.columns else ends).distinct())
-    return texts.join(F.broadcast(keys) if keys.count() <= FEW else keys, "_k", "left_semi")
+    ends = ["_k", "_l", "_also"] if "_also" in pairs.columns else ["_k", "_l"]
+    keys = pairs.select(F.explode(F.array(*ends)).alias("_k")).where("_k IS NOT NULL")
+    return texts.join(F.broadcast(keys) if pairs.count() * len(ends) <= FEW else keys.distinct(), "_k", "left_semi")
 
 
 def parted(group: DataFrame, similar: float) -> DataFrame:
-    """(_key, _k): smaller buckets of members (_g, _k, _c, ...) of groups, so that any two of one group that may be similar share one.
+    """(_key, _k, _c): smaller buckets of members (_g, _k, _c, ...) of groups, so that any two of one group that may be similar share one.
 
     Order a member's shingles: those besides the group's reference first. Two similar members share one among the first fifth
     (1 - similar) of their weights. Either it is none of the reference's: they share a bucket by it. Or both have four fifths on the
@@ -186,7 +186,7 @@ def parted(group: DataFrame, similar: float) -> DataFrame:
     Members of equal figures are judged as one.
     """
     figures = ["_w", "_wl", "_lacks"]
-    by_own = group.select("_g", "_k", F.explode("_own").alias("_e")).select(F.xxhash64("_g", "_e").alias("_key"), "_k")
+    by_own = group.select("_g", "_k", "_c", F.explode("_own").alias("_e")).select(F.xxhash64("_g", "_e").alias("_key"), "_k", "_c")
     near = group.where(F.col("_wl") >= (similar - EPSILON) * F.col("_w"))
     kinds = near.groupBy("_g", *figures).agg(F.min("_c").alias("_low"), F.max("_c").alias("_high"))
     one, two = kinds.alias("one"), kinds.alias("two")
@@ -197,7 +197,7 @@ def parted(group: DataFrame, similar: float) -> DataFrame:
     may = one.join(two, (F.col("one._g") == F.col("two._g")) & once & open_ & bound)
     key = F.xxhash64("one._g", *[f"{x}.{c}" for x in ("one", "two") for c in figures])
     sides = may.select(key.alias("_key"), F.col("one._g").alias("_g"), F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{x}.{c}").alias(c) for c in figures]) for x in ("one", "two")]))).alias("_f"))
-    by_kind = sides.select("_key", "_g", "_f.*").join(near, ["_g", *figures]).select("_key", "_k")
+    by_kind = sides.select("_key", "_g", "_f.*").join(near, ["_g", *figures]).select("_key", "_k", "_c")
     return by_own.union(by_kind).distinct()
 
 
@@ -209,11 +209,12 @@ def leaders(many: DataFrame) -> DataFrame:
     its members have, whether it is in the bucket or not. So a family has one leader, and a member is compared with it once,
     however many buckets it is in.
     """
-    fame = many.groupBy("_k").agg(F.sum("_n").alias("_f"))
-    famous = saved(many.join(fame, "_k").select("_key", "_k", "_f"))
+    # a member's window holds its own buckets only, a few for each of its words at most
+    own = W.partitionBy("_k")
+    famous = saved(many.select("_key", "_k", F.sum("_n").over(own).alias("_f")))
     top = famous.groupBy("_key").agg(F.max(F.struct("_f", "_k")).alias("_top"))
-    hub = famous.join(top, "_key").groupBy("_k").agg(F.max("_top").alias("_hub"))
-    votes = famous.select("_key", "_k").join(hub, "_k").groupBy("_key", "_hub").agg(F.count("_k").alias("_votes"))
+    hub = famous.join(top, "_key").select("_key", "_k", F.max("_top").over(own).alias("_hub"))
+    votes = hub.groupBy("_key", "_hub").agg(F.count("_k").alias("_votes"))
     return votes.groupBy("_key").agg(F.max(F.struct("_votes", "_hub")).alias("_best")).select("_key", F.col("_best._hub._k").alias("_l"))
 
 
@@ -231,13 +232,12 @@ def linked(docs: DataFrame, bands: DataFrame, similar: float) -> DataFrame | Non
     buckets = saved(once.join(shared, "_key").select("_key", "_k"))
     wanted = buckets.select("_k").distinct().join(bands.select("_id", "_k"), "_k").groupBy("_k").agg(F.min("_id").alias("_id"))
     texts = saved(docs.join(wanted, ["_id", "_k"]).select("_k", "_text").dropDuplicates(["_k"]))
-    edges, labels = None, None
+    labels = None
 
     def with_component(rows: DataFrame) -> DataFrame:
         return rows.withColumn("_c", F.col("_k")) if labels is None else rows.join(labels, "_k", "left").withColumn("_c", F.coalesce("_c", "_k"))
 
-    def still_open(rows: DataFrame) -> DataFrame:
-        named = with_component(rows)
+    def still_open(named: DataFrame) -> DataFrame:
         mixed_ = named.groupBy("_key").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b"), F.count("_k").alias("_n")).where("_a < _b").select("_key", "_n")
         return saved(named.join(mixed_, "_key").select("_key", "_k", "_c", "_n"))
 
@@ -247,14 +247,15 @@ def linked(docs: DataFrame, bands: DataFrame, similar: float) -> DataFrame | Non
         open_ = group.groupBy("_g").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b")).where("_a < _b").select("_g")
         return saved(group.join(open_, "_g"))
 
+    buckets = with_component(buckets)
     for left in range(ROUNDS, -1, -1):
         # buckets compared pair by pair now, and in the next round
         now, then = (2 if left == ROUNDS else SMALL << (ROUNDS - left - 1)), SMALL << (ROUNDS - left)
         buckets = still_open(buckets)
-        if buckets.isEmpty():
-            break
         # buckets whose pairs are no more than SMALL for each of their rows end the rounds
         size = buckets.agg(F.count("_k").alias("rows"), F.sum((F.col("_n") - 1) / 2).alias("pairs")).first()
+        if not size["rows"]:
+            break
         last = left == 0 or size["pairs"] <= SMALL * size["rows"]
         few = buckets.where((F.col("_n") <= now) | F.lit(last))
         pairs = few.join(few.select("_key", F.col("_k").alias("_l"), F.col("_c").alias("_d")), "_key").where("_c <> _d AND _l < _k").select("_l", "_k", F.lit(False).alias("_large"))
@@ -266,8 +267,7 @@ def linked(docs: DataFrame, bands: DataFrame, similar: float) -> DataFrame | Non
         found = saved(verified(pairs, needed(texts, pairs), similar))
         new = found.where("_ok").select("_l", "_k")
         if not new.isEmpty():
-            edges = new if edges is None else saved(edges.union(new))
-            labels = components(edges)
+            labels = components(new, labels)
         if last:
             break
         group = several(found)
@@ -275,18 +275,22 @@ def linked(docs: DataFrame, bands: DataFrame, similar: float) -> DataFrame | Non
         if not again.isEmpty():
             better = saved(verified(again, needed(texts, again), similar))
             new = better.where("_ok AND _l <> _k").select("_l", "_k")
-            edges = saved(new if edges is None else edges.union(new))
-            labels = components(edges)
+            labels = components(new, labels)
             group = several(found.join(again.select("_g").distinct(), "_g", "left_anti").unionByName(better))
-        waiting = buckets.where((F.col("_n") > now) & (F.col("_n") <= then)).select("_key", "_k")
-        buckets = waiting.union(parted(group, similar))
+        waiting = with_component(buckets.where((F.col("_n") > now) & (F.col("_n") <= then)).select("_key", "_k"))
+        buckets = waiting.unionByName(parted(group, similar))
     return labels
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(_k, _c): for each node the least node of its component, by least neighbours and pointer jumping."""
+def components(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(_k, _c): for each node the least node of its component, by least neighbours and pointer jumping.
+
+    Components found before (_k, _c) count as links to their least nodes, so that their own links need not be walked again.
+    """
+    if before is not None:
+        edges = edges.union(before.select(F.col("_c").alias("_l"), "_k"))
     both = saved(edges.select("_l", "_k").union(edges.select("_k", "_l")).toDF("_k", "_o").distinct())
-    labels = saved(both.groupBy("_k").agg(F.least(F.min("_o"), F.col("_k")).alias("_c")))
+    labels = both.groupBy("_k").agg(F.least(F.min("_o"), F.col("_k")).alias("_c"))
     while True:
         near = both.join(labels.select(F.col("_k").alias("_o"), F.col("_c").alias("_d")), "_o").groupBy("_k").agg(F.min("_d").alias("_d"))
         hopped = labels.join(near, "_k").select("_k", F.col("_c").alias("_was"), F.least("_c", "_d").alias("_c"))
