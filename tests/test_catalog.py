@@ -169,3 +169,30 @@ def test_asof_strict_and_ties(spark):
     frames = spark.createDataFrame([(1, 1, 0, 10), (1, 2, 10, 15), (1, 3, 18, None)], "k long, step long, start long, end long")
     got = {r.name: (r.step, r.scope) for r in attribute(left, frames, "k", "step").collect()}
     assert got == {"a": (1, "step"), "b": (3, "step"), "c": (1, "step"), "d": (None, "pre")}
+
+
+def test_detectable_differences_and_margins(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.functions.stats import detectable, margin_statistic, shifted_margin
+
+    rows = spark.createDataFrame([(20, 5), (13, 12), (0, 0), (1, 0)], "b long, c long")
+    b, c = F.col("b"), F.col("c")
+    got = rows.select(detectable(b + c), margin_statistic(b, c, 0.1), shifted_margin(b, c, 0.1), shifted_margin(c, b, 0.0), shifted_margin(c, b, 0.0, True)).collect()
+    assert got[0][0] == pytest.approx(2.801585218 / 5) and got[3][0] == pytest.approx(2.801585218) and got[2][0] is None
+    assert got[0][1] == pytest.approx((15 / 25 + 0.1) * 5) and got[2][1] is None
+    assert [r[2] for r in got[:3]] == pytest.approx([2.326e-4, 0.2420, 1], rel=1e-3)
+    assert got[0][3] == pytest.approx(1 - got[0][4]) and got[0][4] == pytest.approx(1.35e-3, rel=1e-2)
+    for bad in ({"alpha": 0}, {"power": 0.5}):
+        with pytest.raises(ValueError):
+            detectable(b, **bad)
+
+
+def test_set_quality_of_empty_and_repeated_sets(spark):
+    from weftline.operators.quality import set_quality
+
+    sets = "g string, k long"
+    predicted = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("c", 5)], sets)
+    truth = spark.createDataFrame([("a", 2), ("a", 3), ("b", 4), ("b", 4)], sets)
+    got = {r["g"]: tuple(r)[1:] for r in set_quality(predicted, truth, "k", "g").collect()}
+    assert got == {"a": (1, 1, 1, 0.5, 0.5, 0.5), "b": (0, 0, 1, 0.0, 0.0, 0.0), "c": (0, 1, 0, 0.0, None, None)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,12 +51,28 @@ def mcnemar_asymptotic(b: Column, c: Column) -> Column:
     return F.when(b + c == 0, 1.0).otherwise(2 * normal_cdf(-root))
 
 
-def shifted_margin(b: Column, c: Column, n: Column, margin: float, absolute: bool = False) -> Column:
-    """One-sided p against a margin: Phi(-z) with z = (difference + margin) * n / sqrt(b + c); ``absolute`` takes |z|."""
-    z = ((b - c) / n + margin) * n / F.sqrt((b + c).cast("double"))
+def margin_statistic(b: Column, c: Column, margin: float) -> Column:
+    """z of the shifted sign test, (difference + margin) * sqrt(b + c), with the difference among discordant pairs; null without any."""
+    return F.when(b + c > 0, ((b - c) / (b + c) + margin) * F.sqrt((b + c).cast("double")))
+
+
+def shifted_margin(b: Column, c: Column, margin: float, absolute: bool = False) -> Column:
+    """One-sided p against a margin: Phi(-z); 1 without discordant pairs. ``absolute`` takes |z|."""
+    z = margin_statistic(b, c, margin)
     return F.when(b + c == 0, 1.0).otherwise(normal_cdf(-(F.abs(z) if absolute else z)))
 
 
+def detectable(pairs: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
+    """The least difference that so many discordant pairs show (two-sided alpha): (z of 1 - alpha / 2 + z of power) / sqrt(pairs).
+
+    Null without pairs; above 1 nothing can be told apart. ValueError unless alpha is in (0, 1) and power in (0.5, 1).
+    """
+    if not (0 < alpha < 1 and 0.5 < power < 1):
+        raise ValueError("alpha must be in (0, 1) and power in (0.5, 1)")
+    z = NormalDist().inv_cdf(1 - alpha / 2) + NormalDist().inv_cdf(power)
+    return F.when(pairs > 0, z / F.sqrt(pairs.cast("double")))
+
+
 def asymptotic_fits(b: Column, c: Column) -> Column:
     return (b + c >= 25) & (F.least(b, c) >= 5)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions import costs, stats, text
-from weftline.operators import assembly, chunker, matrix, paired, pairs, recall, rollup, segments, timejoin
+from weftline.operators import assembly, chunker, matrix, paired, pairs, quality, recall, rollup, segments, timejoin
 from weftline.plans.policy import RULES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -493,6 +493,29 @@ def mcnemar_exact(spark, sf_dir):
     return rounded(paired.tested(paired.discordance(_arms(spark, sf_dir), ["lang"])).select("lang", "b", "c", "p_one", "p_two"), "p_one", "p_two")
 
 
+@query(f"WITH {BC} SELECT lang, b + c AS discordant, round((1.959963984540054 + 0.8416212335729143) / sqrt(b + c), 6) AS difference, (1.959963984540054 + 0.8416212335729143) / sqrt(b + c) <= 1 AS resolvable FROM bc WHERE b + c > 0")
+def detectable_difference(spark, sf_dir):
+    found = paired.discordance(_arms(spark, sf_dir), ["lang"]).select("lang", (F.col("b") + F.col("c")).alias("discordant")).where("discordant > 0")
+    return rounded(found.withColumn("difference", stats.detectable(F.col("discordant"))).withColumn("resolvable", F.col("difference") <= 1), "difference")
+
+
+@query(f"WITH {BC}, z AS (SELECT lang, ((b - c) / (b + c) + 0.1) * sqrt(b + c) AS z FROM bc WHERE b + c > 0) SELECT lang, round(z, 6) AS z, z > 1.6448536269514722 AS holds FROM z")
+def margin_test(spark, sf_dir):
+    """Whether the first arm is no worse than the second by a margin of 0.1 of the discordant pairs, at 5 per cent."""
+    found = paired.discordance(_arms(spark, sf_dir), ["lang"]).where("b + c > 0")
+    b, c = F.col("b"), F.col("c")
+    return rounded(found.select("lang", stats.margin_statistic(b, c, 0.1).alias("z"), (stats.shifted_margin(b, c, 0.1) < 0.05).alias("holds")), "z")
+
+
+@query("""WITH c AS (SELECT lang, count(DISTINCT doc_id) FILTER (quality = 1 AND toxic = 0) AS tp, count(DISTINCT doc_id) FILTER (quality = 1 AND toxic = 1) AS fp, count(DISTINCT doc_id) FILTER (quality <> 1 AND toxic = 0) AS fn
+FROM labels JOIN documents USING (doc_id) GROUP BY lang), s AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall FROM c)
+SELECT lang, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END, 6) AS f1 FROM s""")
+def set_quality(spark, sf_dir):
+    """How well the documents of good quality predict those that are not toxic."""
+    arms = _arms(spark, sf_dir)
+    return rounded(quality.set_quality(arms.where("x = 1"), arms.where("y = 0"), "doc_id", "lang"), "precision", "recall", "f1")
+
+
 @query("""WITH p AS (SELECT lang AS name, count(*) FILTER (n_chars > 2000) / count(*) / 4 AS p FROM documents GROUP BY lang), k AS (SELECT *, row_number() OVER (ORDER BY p, name) AS i, count(*) OVER () AS k FROM p),
 a AS (SELECT *, max(least(1.0, (k - i + 1) * p)) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING) AS adjusted FROM k) SELECT name, round(p, 6) AS p, round(adjusted, 6) AS adjusted, adjusted <= 0.05 AS reject FROM a""")
 def holm_adjust(spark, sf_dir):
