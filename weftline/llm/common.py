@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 NO_ID = -(2**63)
 #: Bytes of text that a task turns into arrays at a time.
 CHUNK = 1 << 19
+#: So many rows of a few numbers are few enough for every task to have them, and for so many tasks to write them.
+FEW, FEW_TASKS = 100_000, 6
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -85,12 +87,15 @@ def _delete_folders() -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, most: int | None = None) -> DataFrame:
     """Cuts the lineage as ``checkpointed`` does, in compressed files: for tables with texts, and for what a loop hands to its next round.
 
     A checkpoint keeps the optimiser's guess of its size, which joins square from round to round until planning stalls; files have their own size.
+    Where the caller has counted that there are at most ``most`` rows, and these are few, few tasks write them.
     """
     path = shared_folder(df.sparkSession)
+    if most is not None and most <= FEW:
+        df = df.coalesce(FEW_TASKS)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -9,12 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import NO_ID, PLAIN, checkpointed, chunks, column, gram_hashes, id_back, keyed, mixed, range_hashes, saved, utf8, word_spans
+from weftline.llm.common import FEW, NO_ID, PLAIN, checkpointed, chunks, column, gram_hashes, id_back, keyed, mixed, range_hashes, saved, utf8, word_spans
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
-#: So many keys of eight bytes are few enough for every task.
-FEW = 100_000
 #: Buckets of so many members that their leader leaves open are compared pair by pair in the next round (twice as many in each round);
 #: larger ones are parted, for so many rounds.
 SMALL, ROUNDS = 6, 5
@@ -201,8 +199,8 @@ def parted(group: DataFrame, similar: float) -> DataFrame:
     return by_own.union(by_kind).distinct()
 
 
-def leaders(many: DataFrame) -> DataFrame:
-    """(_key, _l): whom the members of each bucket (_key, _k, _n) are compared with.
+def leaders(many: DataFrame, most: int | None = None) -> DataFrame:
+    """(_key, _l): whom the members of each bucket (_key, _k, _n) are compared with; ``most`` bounds their rows, if known.
 
     A member's fame is the size of all its buckets together: among copies the original, which shares a bucket with almost each of
     them, has most. A member's hub is the most famous one that it shares a bucket with, and a bucket's leader the hub that most of
@@ -211,7 +209,7 @@ def leaders(many: DataFrame) -> DataFrame:
     """
     # a member's window holds its own buckets only, a few for each of its words at most
     own = W.partitionBy("_k")
-    famous = saved(many.select("_key", "_k", F.sum("_n").over(own).alias("_f")))
+    famous = saved(many.select("_key", "_k", F.sum("_n").over(own).alias("_f")), most)
     top = famous.groupBy("_key").agg(F.max(F.struct("_f", "_k")).alias("_top"))
     hub = famous.join(top, "_key").select("_key", "_k", F.max("_top").over(own).alias("_hub"))
     votes = hub.groupBy("_key", "_hub").agg(F.count("_k").alias("_votes"))
@@ -241,11 +239,11 @@ def linked(docs: DataFrame, bands: DataFrame, similar: float) -> DataFrame | Non
         mixed_ = named.groupBy("_key").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b"), F.count("_k").alias("_n")).where("_a < _b").select("_key", "_n")
         return saved(named.join(mixed_, "_key").select("_key", "_k", "_c", "_n"))
 
-    def several(found: DataFrame) -> DataFrame:
+    def several(found: DataFrame, most: int) -> DataFrame:
         """The large groups with members of several components."""
         group = with_component(found.where("_large").drop("_large", "_ok"))
         open_ = group.groupBy("_g").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b")).where("_a < _b").select("_g")
-        return saved(group.join(open_, "_g"))
+        return saved(group.join(open_, "_g"), most)
 
     buckets = with_component(buckets)
     for left in range(ROUNDS, -1, -1):
@@ -253,30 +251,32 @@ def linked(docs: DataFrame, bands: DataFrame, similar: float) -> DataFrame | Non
         now, then = (2 if left == ROUNDS else SMALL << (ROUNDS - left - 1)), SMALL << (ROUNDS - left)
         buckets = still_open(buckets)
         # buckets whose pairs are no more than SMALL for each of their rows end the rounds
-        size = buckets.agg(F.count("_k").alias("rows"), F.sum((F.col("_n") - 1) / 2).alias("pairs")).first()
+        each = (F.col("_n") - 1) / 2
+        size = buckets.agg(F.count("_k").alias("rows"), F.sum(each).alias("pairs"), F.sum(F.when(F.col("_n") <= now, each).otherwise(1)).alias("led")).first()
         if not size["rows"]:
             break
         last = left == 0 or size["pairs"] <= SMALL * size["rows"]
+        most = int(size["pairs"] if last else size["led"])
         few = buckets.where((F.col("_n") <= now) | F.lit(last))
         pairs = few.join(few.select("_key", F.col("_k").alias("_l"), F.col("_c").alias("_d")), "_key").where("_c <> _d AND _l < _k").select("_l", "_k", F.lit(False).alias("_large"))
         if not last:
             many = buckets.where(F.col("_n") > now)
-            led = many.join(leaders(many), "_key").where("_l <> _k").select("_l", "_k", (F.col("_n") > then).alias("_large"))
+            led = many.join(leaders(many, size["rows"]), "_key").where("_l <> _k").select("_l", "_k", (F.col("_n") > then).alias("_large"))
             pairs = pairs.union(led)
-        pairs = saved(pairs.groupBy("_l", "_k").agg(F.max("_large").alias("_large")).withColumn("_g", F.col("_l")))
+        pairs = saved(pairs.groupBy("_l", "_k").agg(F.max("_large").alias("_large")).withColumn("_g", F.col("_l")), most)
         found = saved(verified(pairs, needed(texts, pairs), similar))
         new = found.where("_ok").select("_l", "_k")
         if not new.isEmpty():
             labels = components(new, labels)
         if last:
             break
-        group = several(found)
+        group = several(found, most)
         again = saved(led_again(group))
         if not again.isEmpty():
             better = saved(verified(again, needed(texts, again), similar))
             new = better.where("_ok AND _l <> _k").select("_l", "_k")
             labels = components(new, labels)
-            group = several(found.join(again.select("_g").distinct(), "_g", "left_anti").unionByName(better))
+            group = several(found.join(again.select("_g").distinct(), "_g", "left_anti").unionByName(better), 2 * most)
         waiting = with_component(buckets.where((F.col("_n") > now) & (F.col("_n") <= then)).select("_key", "_k"))
         buckets = waiting.unionByName(parted(group, similar))
     return labels
@@ -286,16 +286,19 @@ def components(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """(_k, _c): for each node the least node of its component, by least neighbours and pointer jumping.
 
     Components found before (_k, _c) count as links to their least nodes, so that their own links need not be walked again.
+    A step takes the least of a node's own label, its neighbours' and its label's label, in one grouping; it reads saved tables only.
     """
     if before is not None:
         edges = edges.union(before.select(F.col("_c").alias("_l"), "_k"))
-    both = saved(edges.select("_l", "_k").union(edges.select("_k", "_l")).toDF("_k", "_o").distinct())
-    labels = both.groupBy("_k").agg(F.least(F.min("_o"), F.col("_k")).alias("_c"))
+    both = edges.select("_l", "_k").union(edges.select("_k", "_l")).toDF("_k", "_o")
+    most = both.count()
+    labels = saved(both.groupBy("_k").agg(F.least(F.min("_o"), F.col("_k")).alias("_c")), most)
+    unknown = F.lit(None).cast("long")
     while True:
-        near = both.join(labels.select(F.col("_k").alias("_o"), F.col("_c").alias("_d")), "_o").groupBy("_k").agg(F.min("_d").alias("_d"))
-        hopped = labels.join(near, "_k").select("_k", F.col("_c").alias("_was"), F.least("_c", "_d").alias("_c"))
-        jump = hopped.select(F.col("_k").alias("_c"), F.col("_c").alias("_e"))
-        new = saved(hopped.join(jump, "_c", "left").select("_k", "_was", F.least("_c", F.coalesce("_e", "_c")).alias("_c")))
+        near = both.join(labels.toDF("_o", "_d"), "_o").select("_k", "_d", unknown)
+        jump = labels.join(labels.toDF("_c", "_d"), "_c").select("_k", "_d", unknown)
+        step = labels.select("_k", "_c", F.col("_c").alias("_was")).union(near).union(jump)
+        new = saved(step.groupBy("_k").agg(F.min("_c").alias("_c"), F.max("_was").alias("_was")), most)
         labels = new.select("_k", "_c")
         if new.where("_c <> _was").isEmpty():
             return labels
