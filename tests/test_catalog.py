@@ -62,6 +62,34 @@ def test_chunker_keeps_fences_and_lists_whole():
     assert blocks(text) == ["# head\nintro", "```py\na\n\nb\n```", "- one\n\n- two", "after"]
 
 
+def test_blocks_of_lists_fences_and_headings():
+    from weftline.operators.chunker import blocks
+
+    assert blocks("intro:\n- one\n- two\n\n- three\n  more\n\nend") == ["intro:\n- one\n- two\n\n- three", "  more", "end"]
+    assert blocks("a\r\n# h\r\nb\n\n\n\nc") == ["a", "# h\nb", "c"]
+    assert blocks("- x\n# h\n~~~\n```\n~~~ \nz") == ["- x", "# h", "~~~\n```\n~~~ ", "z"]
+    assert blocks("") == blocks(" \n\t\n") == []
+    assert blocks("```\nnever closed\n\nx") == ["```\nnever closed\n\nx"]
+
+
+def test_chunks_by_hand():
+    from weftline.operators.chunker import by_sentence, chunks, packed_lines
+
+    # sentences of 8 characters, two tokens each: pieces of two that share one; pieces end at cuts, so what follows the last is on its own
+    assert by_sentence("aaaaaa. bbbbbb. cccccc. dddddd.", 4, 2) == ["aaaaaa. bbbbbb.", "bbbbbb. cccccc.", "cccccc.", "dddddd."]
+    assert by_sentence("aaaaaa. bbbbbb. cccccc. dddddd.", 4, 0) == ["aaaaaa. bbbbbb.", "cccccc.", "dddddd."]
+    # without a cut: 8 characters, the last 4 again
+    assert by_sentence("abcdefghijklmnop", 2, 1) == ["abcdefgh", "efghijkl", "ijklmnop"]
+    # wide characters are a token each
+    assert by_sentence("一二三四五", 2, 1) == ["一二", "二三", "三四", "四五"]
+    # lines of a token each; the last one again; a long line is cut and stands alone, what is left of it is packed
+    assert packed_lines(["aaaa", "bbbb", "cccc"], 3, 1) == ["aaaa\nbbbb", "bbbb\ncccc"]
+    assert packed_lines(["aaaa", "bbbbbbbbbbbbbbbb"], 3, 0) == ["aaaa", "bbbbbbbbbbbb", "bbbb"]
+    # blocks within the budget are packed whole, and a trailing one within the overlap is carried on
+    assert chunks("aaaaaaaa\n\nbbbb\n\ncccccccc", 4, 1) == ["aaaaaaaa\n\nbbbb", "bbbb\n\ncccccccc"]
+    assert chunks("short", 4, 1) == ["short"] and chunks("", 4, 1) == [""]
+
+
 def test_delivery_budget_defers_and_goes_on(spark):
     from weftline.operators.assembly import within_budget
 
