@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline.llm.chat_format import as_chain, chat_format, loss_texts, turns_back
 from weftline.llm.common import id_back, table
 from weftline.llm.decontaminate import overlaps
+from weftline.llm.exact_dedup import exact_dedup
 from weftline.llm.fingerprints import edited, fingerprint, likeness
 from weftline.llm.language_id import fitted, language_id, plain_text
 from weftline.llm.line_dedup import line_dedup
@@ -83,6 +84,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_chat_format,
         op10_line_dedup,
+        op12_exact_dedup,
     )
 }
 
@@ -137,4 +143,7 @@ e AS (
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(said, '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, CAST(sum(length(loss)) AS BIGINT) AS loss_chars,
   sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256, CAST(sum(size) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op12_exact_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256 FROM d WINDOW g AS (PARTITION BY t)""",
 }
