@@ -15,6 +15,7 @@ from weftline.llm.fingerprints import edited, fingerprint, likeness
 from weftline.llm.language_id import fitted, language_id, plain_text
 from weftline.llm.line_dedup import line_dedup
 from weftline.llm.near_dedup import near_duplicates
+from weftline.llm.prefix_trie import conversation_trie
 from weftline.llm.sentencepiece_codec import round_trip
 from weftline.llm.substring_dedup import substring_dedup
 from weftline.llm.suffix_dedup import suffix_dedup
@@ -88,6 +89,10 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_chat_format,
         op10_line_dedup,
         op12_exact_dedup,
+        op13_prefix_trie,
     )
 }
 
@@ -146,4 +152,21 @@ FROM e GROUP BY conv_id""",
     "op12_exact_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256 FROM d WINDOW g AS (PARTITION BY t)""",
+    # the CRC-32 of a decimal number, bit by bit, makes each conversation's head
+    "op13_prefix_trie": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT *, dense_rank() OVER (ORDER BY role, text) AS id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM t),
+own AS (SELECT conv_id, list({'id': id, 'w': w} ORDER BY turn NULLS FIRST, id) AS s FROM n GROUP BY conv_id),
+crc AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 4 AS h
+  FROM own),
+re AS (SELECT c.conv_id, list_concat(coalesce(b.s, [])[1:c.h], c.s[c.h + 1:]) AS s FROM crc c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+pre AS (SELECT conv_id, s[1:d] AS p, d, d = len(s) AS ends FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM re)),
+node AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS e FROM pre GROUP BY p, d),
+kid AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+own_node AS (SELECT node.*, coalesce(kid.n, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * p[d].w ELSE 0 END AS saved FROM node LEFT JOIN kid ON kid.p = node.p),
+up AS (SELECT p[1:a] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM own_node) GROUP BY 1)
+SELECT o.conv_id, o.d AS depth, parent.conv_id AS parent_conv_id, o.n_convs, o.n_children, up.n_leaves, CAST(up.saved AS BIGINT) AS saved_tokens, sha256(o.e) AS ends_sha256
+FROM own_node o JOIN up ON up.p = o.p LEFT JOIN node parent ON o.d > 0 AND parent.p = o.p[1:o.d - 1]""",
 }
