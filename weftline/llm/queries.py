@@ -17,6 +17,7 @@ from weftline.llm.line_dedup import line_dedup
 from weftline.llm.near_dedup import near_duplicates
 from weftline.llm.prefix_trie import conversation_trie
 from weftline.llm.sentencepiece_codec import round_trip
+from weftline.llm.source_audit import source_audit
 from weftline.llm.substring_dedup import substring_dedup
 from weftline.llm.suffix_dedup import suffix_dedup
 from weftline.llm.toxicity import fit, toxicity
@@ -93,6 +94,10 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_chat_format,
         op10_line_dedup,
+        op11_source_audit,
         op12_exact_dedup,
         op13_prefix_trie,
     )
@@ -165,8 +171,24 @@ re AS (SELECT c.conv_id, list_concat(coalesce(b.s, [])[1:c.h], c.s[c.h + 1:]) AS
 pre AS (SELECT conv_id, s[1:d] AS p, d, d = len(s) AS ends FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM re)),
 node AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS e FROM pre GROUP BY p, d),
 kid AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
-own_node AS (SELECT node.*, coalesce(kid.n, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * p[d].w ELSE 0 END AS saved FROM node LEFT JOIN kid ON kid.p = node.p),
+own_node AS (SELECT node.*, coalesce(kid.n, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * struct_extract(node.p[d], 'w') ELSE 0 END AS saved FROM node LEFT JOIN kid ON kid.p = node.p),
 up AS (SELECT p[1:a] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM own_node) GROUP BY 1)
 SELECT o.conv_id, o.d AS depth, parent.conv_id AS parent_conv_id, o.n_convs, o.n_children, up.n_leaves, CAST(up.saved AS BIGINT) AS saved_tokens, sha256(o.e) AS ends_sha256
 FROM own_node o JOIN up ON up.p = o.p LEFT JOIN node parent ON o.d > 0 AND parent.p = o.p[1:o.d - 1]""",
+    "op11_source_audit": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+tok AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM tok GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+vocab AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cnt AS (SELECT lang, source, term, count(*) AS n FROM tok SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+tot AS (SELECT grp.lang, grp.source, coalesce(sum(n), 0) AS n FROM grp LEFT JOIN cnt ON cnt.lang = grp.lang AND cnt.source = grp.source GROUP BY ALL),
+p AS (
+  SELECT tot.lang, tot.source, kept.term, coalesce(cnt.n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(cnt.n, 0) + 2)) // (tot.n + 2 * vocab.v) AS BIGINT) AS p, CAST(1 + (1000000000::HUGEINT * (kept.n + 2)) // (vocab.n + 2 * vocab.v) AS BIGINT) AS q
+  FROM tot JOIN vocab ON vocab.lang = tot.lang JOIN kept ON kept.lang = tot.lang LEFT JOIN cnt ON cnt.lang = tot.lang AND cnt.source = tot.source AND cnt.term = kept.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+UNION ALL SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM terms QUALIFY rank <= 10""",
 }
