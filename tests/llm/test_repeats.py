@@ -89,3 +89,52 @@ def test_merged_transforms_find_every_repeat(monkeypatch):
 def test_suffix_dedup_needs_a_fit_length(spark):
     with pytest.raises(ValueError, match="power of two"):
         suffix_dedup(edges(spark), length=130)
+
+
+def thue_morse(n):
+    """A word over a and b, and its complement: equal under any polynomial modulo 2^64 with an odd base from 1,024 letters on."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_range_hashes_tell_long_patterns_apart():
+    from weftline.llm.common import range_hashes
+
+    for n in (2, 512, 1024, 4096, 65536):
+        a, b = thue_morse(n)
+        data = np.frombuffer((a + b + a).encode(), np.uint8)
+        h = range_hashes(data, np.array([0, n, 2 * n]), np.array([n, 2 * n, 3 * n]))
+        assert h[0] != h[1] and h[0] == h[2]
+
+
+@pytest.mark.parametrize("pair", [("w199452", "w287357"), ("w122419", "w294087"), thue_morse(1024), thue_morse(4096)])
+def test_words_that_hashes_may_take_for_one(spark, pair):
+    rest = [f"x{i}" for i in range(12)]
+    rows = [(10 * j + k, " ".join([*rest[:j], word, *rest[j:]])) for j in range(13) for k, word in enumerate(pair)]
+    rows += [(500, " ".join(["y", *rest[:5], pair[1], *rest[5:], "z"])), (501, "  ".join([*rest[:5], pair[0], *rest[5:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup(df).collect())
+    assert got == words_brute(rows) and sum(r[2] > 0 for r in got) == 2
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_encoding_of_patterns(spark, n):
+    from weftline.llm.sentencepiece_codec import round_trip
+
+    a, b = thue_morse(n)
+    df = spark.createDataFrame([(0, a), (1, b), (2, f"{a} {b}")], "doc_id long, text string")
+    apart = spark.createDataFrame([(1, b)], "doc_id long, text string")
+    got = {r.doc_id: r.asDict() for r in round_trip(df).collect()}
+    assert got[1] == round_trip(apart).first().asDict() and {**got[0], "doc_id": 1} != got[1]
+
+
+def test_overlap_with_patterns(spark):
+    from weftline.llm.decontaminate import overlaps
+
+    a, b = thue_morse(1024)
+    item = " ".join([a, *(f"{a[:40]}{i}" for i in range(3))])
+    docs = spark.createDataFrame([(0, item), (1, item.replace(a, b, 1).replace(a[:40], b[:40]))], "doc_id long, text string")
+    found = overlaps(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in found} == {0}

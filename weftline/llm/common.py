@@ -25,6 +25,8 @@ CHUNK = 1 << 19
 FEW, FEW_TASKS = 100_000, 6
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: A prime 2^31 - 1 and a base modulo it, for the part of a hash that no pattern in the text makes clash.
+_PRIME, _ROOT = (1 << 31) - 1, 0x5DEECE66
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -150,20 +152,42 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def range_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of units[start:end] for each start and end."""
+def _prime_power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the root modulo the prime, up and down."""
+    if len(_powers.get("prime_up", ())) < n:
+        size = max(n, CHUNK + 200_000)
+        for name, base in (("prime_up", _ROOT), ("prime_down", pow(_ROOT, -1, _PRIME))):
+            steps = np.ones(1, np.uint64)
+            while len(steps) < size:  # doubling: the powers so far times the next one
+                steps = np.concatenate((steps, steps * np.uint64(pow(base, len(steps), _PRIME)) % np.uint64(_PRIME)))
+            _powers[name] = steps[:size]
+    return _powers["prime_up"][:n], _powers["prime_down"][:n]
+
+
+def _plain_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial modulo 2^64 of units[start:end]. Some texts of 1,024 units and more, such as Thue-Morse words, have equal ones by construction."""
     up, down = _power(len(units) + 1)
     total = np.zeros(len(units) + 1, np.uint64)
     np.cumsum((units.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def range_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of units[start:end] for each start and end, for ranges of any length: a polynomial modulo 2^64 and one modulo a prime."""
+    up, down = _prime_power(len(units) + 1)
+    prime = np.uint64(_PRIME)
+    total = np.zeros(len(units) + 1, np.uint64)
+    np.cumsum((units.astype(np.uint64) % prime + np.uint64(1)) * up[:-1] % prime, out=total[1:])
+    sound = (total[ends] - total[starts]) % prime * down[starts] % prime
+    return mixed(_plain_hashes(units, starts, ends) ^ mixed(sound + np.uint64(1)))
+
+
 def gram_hashes(units: np.ndarray, n: int) -> np.ndarray:
-    """A hash of every n consecutive units; runs that cross documents are left in for the caller to skip."""
+    """A hash of every n (a few) consecutive units; runs that cross documents are left in for the caller to skip."""
     if len(units) < n:
         return np.zeros(0, np.uint64)
     starts = np.arange(len(units) - n + 1)
-    return range_hashes(units, starts, starts + n)
+    return _plain_hashes(units, starts, starts + n)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -38,7 +38,8 @@ def anchor_rows(docs: DataFrame, runs_of) -> DataFrame:
 def candidate_runs(docs: DataFrame, wanted: DataFrame, runs_of, units_of) -> DataFrame:
     """(_anchor, _id, _k, _starts, _run): the runs of each document at the anchors that ``wanted`` (_id, _anchors) lists for it.
 
-    Equal runs of a document at one anchor, as periodic texts have them, are one row with all their starts.
+    Equal runs of a document at one anchor, as periodic texts have them, are one row with all their starts. units_of(units, first, last)
+    -> data, bounds, begins, ends: what is moved, each document's first unit, and where in the data each run begins and ends.
     """
 
     def rows(batches):
@@ -52,12 +53,12 @@ def candidate_runs(docs: DataFrame, wanted: DataFrame, runs_of, units_of) -> Dat
             own = anchor ^ (doc.astype(np.uint64) * _SPREAD)
             keep = np.flatnonzero(np.isin(own, flat ^ (owner * _SPREAD)))
             doc, first, last, anchor, own = doc[keep], first[keep], last[keep], anchor[keep], own[keep]
-            data, bounds, ends = units_of(units, last)
-            _, some, which = np.unique(mixed(range_hashes(data, first, ends) ^ own), return_index=True, return_inverse=True)
+            data, bounds, begins, ends = units_of(units, first, last)
+            _, some, which = np.unique(mixed(range_hashes(data, begins, ends) ^ own), return_index=True, return_inverse=True)
             order = np.argsort(which, kind="stable")
             offsets = np.concatenate(([0], np.cumsum(np.bincount(which, minlength=len(some))))).astype(np.int32)
             starts = pa.ListArray.from_arrays(pa.array(offsets), pa.array((first - bounds[doc])[order].astype(np.int32)))
-            arrays = [pa.array(anchor[some].view(np.int64)), pa.array(column(batch, "_id")[doc[some]]), pa.array(column(batch, "_k")[doc[some]]), starts, packed(data, first[some], ends[some])]
+            arrays = [pa.array(anchor[some].view(np.int64)), pa.array(column(batch, "_id")[doc[some]]), pa.array(column(batch, "_k")[doc[some]]), starts, packed(data, begins[some], ends[some])]
             yield pa.RecordBatch.from_arrays(arrays, ["_anchor", "_id", "_k", "_starts", "_run"])
 
     joined = docs.join(wanted, "_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,21 +45,25 @@ def factors(run: bytes, index: dict[bytes, tuple[bytes, int]], window: int, wide
 
 
 def repeated_spans(runs: DataFrame, window: int) -> DataFrame:
-    """(_id, _k, _start, _len): factors of each run against the runs of smaller ids at its anchor."""
+    """(_id, _k, _start, _len): factors of each run against the runs of smaller ids at its anchor.
+
+    Runs come as their words; a task numbers the words of an anchor's runs, so that equal numbers are equal words and no hash decides.
+    """
 
     def rows(batches):
-        anchor, doc, index, waiting = None, None, {}, {}
+        anchor, doc, index, waiting, numbers = None, None, {}, {}, {}
         for batch in batches:
             out: list[tuple] = []
             for a, i, k, starts, run in run_rows(batch):
                 if a != anchor:
-                    anchor, doc, index, waiting = a, i, {}, {}
+                    anchor, doc, index, waiting, numbers = a, i, {}, {}, {}
                 elif i != doc:
                     # the runs of a document become reference only for later ones
                     for text in waiting:
                         for j in range(len(text) // 4 - window + 1):
                             index.setdefault(text[j * 4 : (j + window) * 4], (text, j))
                     doc, waiting = i, {}
+                run = array("I", [numbers.setdefault(w, len(numbers)) for w in run.split(b" ")]).tobytes()
                 waiting[run] = None
                 if index:
                     out.extend((i, k, start + first, length) for first, length in factors(run, index, window) for start in starts)
@@ -72,11 +78,15 @@ def duplicate_spans(docs: DataFrame, window: int = WORDS) -> DataFrame:
     def runs_of(batch):
         data, starts, ends, bounds = _words(batch)
         hashes = range_hashes(data, starts, ends)
-        return (hashes, bounds), window_runs(gram_hashes(hashes, GRAM), bounds, window, GRAM)
-
-    def units_of(units, last):
-        hashes, bounds = units
-        return (hashes >> np.uint64(32)).astype(np.uint32), bounds, last + window
+        return (data, starts, ends, bounds), window_runs(gram_hashes(hashes, GRAM), bounds, window, GRAM)
+
+    def units_of(units, first, last):
+        data, starts, ends, bounds = units
+        at = np.concatenate(([0], np.cumsum(ends - starts + 1)))
+        # the words, each with one space after it
+        joined = np.append(data, np.uint8(32))[np.arange(at[-1]) + np.repeat(starts - at[:-1], ends - starts + 1)]
+        joined[at[1:] - 1] = 32
+        return joined, bounds, at[first], at[last + window] - 1
 
     anchors = W.partitionBy("_anchor")
     wanted = (

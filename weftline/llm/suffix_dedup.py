@@ -216,9 +216,9 @@ def repeated_bytes(docs: DataFrame, k: int = LENGTH) -> DataFrame:
         data, bounds = utf8(batch.column(batch.schema.get_field_index("_text")))
         return (data, bounds), _runs(data, bounds, k)
 
-    def units_of(units, last):
+    def units_of(units, first, last):
         data, bounds = units
-        return data, bounds, last + k
+        return data, bounds, first, last + k
 
     anchors = anchor_rows(docs, runs_of)
     repeated = anchors.groupBy("_anchor").agg(F.sum("_n").alias("_all")).where("_all > 1").select("_anchor")
