@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.functions.text import payload_id
+from weftline.functions.text import estimate_tokens, payload_id
+from weftline.operators.containment import contained, texts
 from weftline.operators.pairs import unjudged
 
 
@@ -42,45 +45,128 @@ def budget(placed: DataFrame, chosen: DataFrame, context: int, reserve: int) ->
     return joined.select("session", "pinned", "tail", "recalled", "anchor", "why", used.alias("used"), F.lit(context - reserve).cast("long").alias("total"), stable.alias("stable"), (used - stable).alias("after_cut"), F.greatest(F.lit(0), full - used).alias("would_save"))
 
 
-def missing(wanted: DataFrame, visible: DataFrame) -> DataFrame:
+def rendered(kind: Column, parent: Column, text: Column) -> Column:
+    """A segment as it is quoted: a line that says where it comes from, and its text. The line's words are fixed values."""
+    return F.concat(F.lit("## earlier "), kind, F.lit(" turn, quoted verbatim · "), parent, F.lit("\n"), text)
+
+
+def provenance_ids(payload: Column) -> Column:
+    """The parents that a payload of rendered segments names, in order."""
+    return F.regexp_extract_all(payload, F.lit(r"(?m)^## earlier \w+ turn, quoted verbatim · (.*)$"), F.lit(1))
+
+
+#: Kinds whose text proves that they are visible, wherever it stands, and the characters from which a part of a text is proof too; fixed values.
+SHOWN_KINDS, SHOWN_LENGTH = ("user", "toolResult"), 128
+
+
+def visible(wanted: DataFrame, shown: DataFrame) -> DataFrame:
+    """(session, idx): the wanted segments (session, idx, kind, parent, text) that the session's shown messages (session, id, text, injected) have.
+
+    A user's or a tool's text is there if it is a message's text, or at least ``SHOWN_LENGTH`` characters of one; any text is there if it is part of
+    the message it was cut from (``parent``), or if an injected message quotes it as rendered. Empty texts are never there.
+    """
+    some = wanted.where(F.length("text") > 0)
+    free = some.where(F.col("kind").isin(*SHOWN_KINDS))
+    equal = free.join(shown.select("session", "text").distinct(), ["session", "text"], "left_semi").select("session", "idx")
+    ids = shown.select("session", F.col("id").alias("_hay"), "text", "injected")
+    hays = texts(ids, ["session"], "_hay", "text")
+    within = contained(texts(free.where(F.length("text") >= SHOWN_LENGTH), ["session"], "idx", "text"), hays)
+    own = some.join(shown.select("session", F.col("id").alias("parent"), F.col("text").alias("_whole")), ["session", "parent"]).where(F.contains("_whole", "text")).select("session", "idx")
+    quoted = some.withColumn("_r", rendered(F.col("kind"), F.col("parent"), F.col("text")))
+    again = contained(texts(quoted, ["session"], "idx", "_r"), texts(ids.where("injected"), ["session"], "_hay", "text"))
+    found = [df.select(F.col("_by").alias("session"), F.col("_needle").alias("idx")) for df in (within, again)]
+    return equal.unionByName(own).unionByName(found[0]).unionByName(found[1]).distinct()
+
+
+def missing(wanted: DataFrame, shown: DataFrame) -> DataFrame:
     """(session, idx, text, payload): wanted segments whose text is not visible already; equal texts once, the oldest."""
-    first = wanted.join(visible.select("session", "text").distinct(), ["session", "text"], "left_anti").groupBy("session", "text").agg(F.min("idx").alias("idx"))
+    first = wanted.join(shown.select("session", "text").distinct(), ["session", "text"], "left_anti").groupBy("session", "text").agg(F.min("idx").alias("idx"))
     return first.select("session", "idx", "text", payload_id("seg-", F.col("text")).alias("payload"))
 
 
-def within_budget(rows: DataFrame, max_tokens: int, max_segments: int) -> DataFrame:
-    """(session, idx, pos, tokens, delivered): a greedy scan by ``pos`` that defers a block that doesn't fit and goes on.
+def _scanned(rows: DataFrame, max_tokens: int, max_segments: int) -> DataFrame:
+    """(session, idx, pos, tokens, outcome) of (session, idx, pos, tokens, key, shown): sessions stream through a task in order of pos.
 
-    0 means no limit. A block's fate depends on the ones before it, so each session is folded in order.
+    duplicate: a row of the same key was delivered; visible: it is shown; deferred: it doesn't fit; else delivered. The state is two sums and
+    the keys that were delivered.
     """
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group, tokens, count, out = group.sort_values("pos"), 0, 0, []
-        for n in group["tokens"]:
-            fits = (not max_tokens or tokens + n <= max_tokens) and (not max_segments or count < max_segments)
-            tokens, count = tokens + n * fits, count + fits
-            out.append(bool(fits))
-        return group.assign(delivered=out)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, used, keys = None, 0, set()
+        count = 0
+        for batch in batches:
+            out = []
+            for s, n, key, shown in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5)), strict=True):
+                if s != session:
+                    session, used, count, keys = s, 0, 0, set()
+                if key is not None and key in keys:
+                    out.append("duplicate")
+                elif shown:
+                    out.append("visible")
+                elif (max_tokens and used + n > max_tokens) or (max_segments and count >= max_segments):
+                    out.append("deferred")
+                else:
+                    used, count = used + n, count + 1
+                    keys.add(key)
+                    out.append("delivered")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.string())], [*batch.schema.names[:4], "outcome"])
+
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = rows.select("session", *[F.col(c).cast("long").alias(c) for c in ("idx", "pos", "tokens")], "key", "shown")
+    return some.repartition(partitions, "session").sortWithinPartitions("session", "pos", "idx").mapInArrow(scan, f"session {dict(rows.dtypes)['session']}, idx long, pos long, tokens long, outcome string")
 
-    return rows.select("session", "idx", "pos", "tokens").groupBy("session").applyInPandas(fold, "session long, idx long, pos long, tokens long, delivered boolean")
 
+def within_budget(rows: DataFrame, max_tokens: int, max_segments: int) -> DataFrame:
+    """(session, idx, pos, tokens, delivered): a greedy scan by ``pos`` that defers a block that doesn't fit and goes on. 0 means no limit."""
+    plain = rows.withColumn("key", F.lit(None).cast("string")).withColumn("shown", F.lit(False))
+    return _scanned(plain, max_tokens, max_segments).select("session", "idx", "pos", "tokens", (F.col("outcome") == "delivered").alias("delivered"))
+
+
+#: Why nothing is delivered, in the order in which it is asked.
+REFUSALS = ("off", "no step", "no messages", "deferred", "nothing to insert", "already there")
 
-def not_contained(rows: DataFrame) -> DataFrame:
-    """(session, parent, idx, kept): siblings of one parent in order of ``pos``; one that an earlier kept text contains is dropped.
 
-    As containment is transitive, that is one that any earlier text contains.
+def delivery(steps: DataFrame, wanted: DataFrame, shown: DataFrame, max_tokens: int = 0, max_segments: int = 0) -> DataFrame:
+    """(session, reason, candidates, visible, duplicates, deferred, delivered, tokens, payload, at): what each step (session, enabled, step, every_step,
+    messages) gets of its wanted segments (session, idx, kind, parent, text).
+
+    ``messages`` are the step's own, an array of structs (text, claimed). Wanted segments go in order of idx: those whose text was not delivered yet and is
+    not ``visible``, as far as the budget goes. ``at`` is where the payload goes: after the last claimed message, or at the end. A step that gets
+    nothing has the first of ``REFUSALS`` that holds for ``reason``, and no payload.
     """
+    known = steps.select("session", "enabled", "step", "every_step", "messages")
+    marked = wanted.withColumn("_r", rendered(F.col("kind"), F.col("parent"), F.col("text"))).join(visible(wanted, shown).withColumn("shown", F.lit(True)), ["session", "idx"], "left")
+    asked = marked.select("session", "idx", F.col("idx").alias("pos"), estimate_tokens(F.concat(F.lit("\n\n"), "_r")).alias("tokens"), F.sha2("text", 256).alias("key"), F.coalesce("shown", F.lit(False)).alias("shown"))
+    told = _scanned(asked, max_tokens, max_segments).join(marked.select("session", "idx", "_r"), ["session", "idx"])
+    sent = F.col("outcome") == "delivered"
+    parts = F.transform(F.sort_array(F.collect_list(F.when(sent, F.struct("idx", "_r")))), lambda x: x["_r"])
+    names = {"visible": "visible", "duplicates": "duplicate", "deferred": "deferred", "delivered": "delivered"}
+    counts = [F.count_if(F.col("outcome") == name).alias(column) for column, name in names.items()]
+    sums = told.groupBy("session").agg(F.count("*").alias("candidates"), *counts, F.coalesce(F.sum(F.when(sent, F.col("tokens"))), F.lit(0)).alias("tokens"), F.array_join(parts, "\n\n").alias("_text"))
+    zero = ["candidates", "visible", "duplicates", "deferred", "delivered", "tokens"]
+    both = known.join(sums, "session", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in zero})
+    empty = F.coalesce(F.size("messages"), F.lit(0)) <= 0
+    there = F.exists("messages", lambda m: m["text"] == F.col("_text"))
+    tests = (~F.col("enabled"), (F.col("step") == 1) & empty, empty & ~F.col("every_step"), (F.col("delivered") == 0) & (F.col("deferred") > 0), F.col("delivered") == 0, there)
+    reason = F.lit(None).cast("string")
+    for test, name in reversed(list(zip(tests, REFUSALS, strict=True))):
+        reason = F.when(test, name).otherwise(reason)
+    last = F.array_max(F.transform("messages", lambda m, i: F.when(m["claimed"], i + 1)))
+    both = both.withColumn("reason", reason)
+    sent = F.col("reason").isNull()
+    return both.select("session", "reason", *zero, F.when(sent, payload_id("seg-", F.col("_text"))).alias("payload"), F.when(sent, F.coalesce(last, F.size("messages"))).cast("long").alias("at"))
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group, kept, out = group.sort_values("pos"), [], []
-        for text in group["text"]:
-            fresh = not any(text in other for other in kept)
-            if fresh:
-                kept.append(text)
-            out.append(fresh)
-        return group.assign(kept=out)[["session", "parent", "idx", "kept"]]
 
-    return rows.select("session", "parent", "idx", "pos", "text").groupBy("session", "parent").applyInPandas(fold, f"session long, parent {dict(rows.dtypes)['parent']}, idx long, kept boolean")
+def not_contained(rows: DataFrame) -> DataFrame:
+    """(session, parent, idx, kept): siblings of one parent in order of ``pos``; one that an earlier kept text contains is dropped.
+
+    As containment is transitive, that is one that any earlier text contains. An empty text is in every earlier one.
+    """
+    found = contained(*[texts(rows, ["session", "parent"], "pos", "text")] * 2).where("_hay < _needle").select("_by.session", "_by.parent", F.col("_needle").alias("pos")).distinct()
+    first = F.min("pos").over(W.partitionBy("session", "parent"))
+    told = rows.withColumn("_first", first).join(found.withColumn("_in", F.lit(True)), ["session", "parent", "pos"], "left")
+    empty = (F.length("text") == 0) & (F.col("pos") > F.col("_first"))
+    return told.select("session", "parent", "idx", (~(F.coalesce("_in", F.lit(False)) | empty)).alias("kept"))
 
 
 def selection_order(steps: DataFrame) -> DataFrame:

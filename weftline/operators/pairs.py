@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.functions.text import overlap, token_set
+from weftline.operators.scorers import LEXICAL, TOPICS, Scorer
 
 WINDOW = 16
 
@@ -14,32 +14,30 @@ WINDOW = 16
 def candidates(segments: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame:
     """(session, from_idx, to_idx, a, b): each segment with the ``window`` before it; a and b hold the columns ``keep``.
 
-    One shuffle on the session: the rows before come from a window frame, never from a join.
+    Rows meet in bands of ``window`` positions: a segment looks at its own band and the one before. So no task holds a session, and
+    a band has at most ``window`` rows, however long the session is.
     """
-    order = W.partitionBy("session").orderBy("idx")
-    own = F.struct("idx", *keep)
-    before = segments.select("session", own.alias("b"), F.collect_list(own).over(order.rowsBetween(-window, -1)).alias("_before"))
-    pairs = before.select("session", F.explode("_before").alias("a"), "b")
-    return pairs.select("session", F.col("a.idx").alias("from_idx"), F.col("b.idx").alias("to_idx"), "a", "b")
+    band, own = F.floor(F.col("idx") / window), F.struct("idx", *keep)
+    older = segments.select("session", band.alias("_band"), own.alias("a"))
+    newer = segments.select("session", F.explode(F.array(band, band - 1)).alias("_band"), own.alias("b"))
+    near = (F.col("a.idx") < F.col("b.idx")) & (F.col("a.idx") >= F.col("b.idx") - window)
+    met = older.join(newer, ["session", "_band"]).where(near)
+    return met.select("session", F.col("a.idx").alias("from_idx"), F.col("b.idx").alias("to_idx"), "a", "b")
 
 
-def lexical_scores(segments: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(session, from_idx, to_idx, w, source): overlap of token sets, which are made once for each segment."""
-    sets = segments.select("session", "idx", token_set(F.col("text")).alias("tokens"))
-    pairs = candidates(sets, ["tokens"], window)
-    return pairs.select("session", "from_idx", "to_idx", overlap(F.col("a.tokens"), F.col("b.tokens")).alias("w"), F.lit("lexical").alias("source"))
+def scored(segments: DataFrame, scorer: Scorer, window: int = WINDOW) -> DataFrame:
+    """(session, from_idx, to_idx, a, b, w, source): every pair of the window with the scorer's weight; features are made once for each segment."""
+    return scorer.score(candidates(scorer.prepared(segments), scorer.names(segments), window)).withColumn("source", F.lit(scorer.source))
 
 
-def rule_score(a: Column, b: Column) -> Column:
-    """A fixed scorer over topics: near and same topic 0.82, same topic 0.62, next topic 0.42, else 0.08."""
-    apart, far = F.abs(a["topic"] - b["topic"]), b["idx"] - a["idx"] > 4
-    return F.when((apart == 0) & ~far, 0.82).when(apart == 0, 0.62).when(apart == 1, 0.42).otherwise(0.08)
+def lexical_scores(segments: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(session, from_idx, to_idx, w, source): overlap of token sets."""
+    return scored(segments, LEXICAL, window).drop("a", "b")
 
 
 def topic_scores(segments: DataFrame, window: int = WINDOW) -> DataFrame:
     """Scores of events by their topics; ``at`` is the newer segment's time."""
-    pairs = candidates(segments, ["topic", "ts"], window)
-    return pairs.select("session", "from_idx", "to_idx", rule_score(F.col("a"), F.col("b")).alias("w"), F.lit("s1-noul").alias("source"), F.col("b.ts").alias("at"))
+    return scored(segments, TOPICS, window).withColumn("at", F.col("b.ts")).drop("a", "b")
 
 
 def edges(scores: DataFrame, threshold: float) -> DataFrame:

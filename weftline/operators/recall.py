@@ -29,18 +29,33 @@ def recall(seeds: DataFrame, arcs: DataFrame, depth: int) -> DataFrame:
     arc into the hit from any expanded segment, not the product along a path. Seeds are no hits.
     """
     arcs = checkpointed(arcs)
-    first = W.partitionBy("session").orderBy("_p", F.desc("_e"), F.desc("idx"))
-    reached = checkpointed(seeds.select("session", F.col("seed").alias("idx"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("via"), F.lit(1).alias("pos")))
+    reached = checkpointed(started(seeds))
     level = reached
     for k in range(1, depth + 1):
-        out = level.select("session", F.col("idx").alias("to_idx"), F.col("pos").alias("_p")).join(arcs, ["session", "to_idx"])
-        new = out.join(reached.select("session", F.col("idx").alias("from_idx")), ["session", "from_idx"], "left_anti")
-        found = new.groupBy("session", F.col("from_idx").alias("idx")).agg(F.min(F.struct("_p", (-F.col("e")).alias("_e"), "to_idx")).alias("_best"))
-        ranked = found.select("session", "idx", F.lit(k).alias("depth"), F.col("_best.to_idx").alias("via"), F.col("_best._p").alias("_p"), (-F.col("_best._e")).alias("_e"))
-        level = checkpointed(ranked.withColumn("pos", F.row_number().over(first)).drop("_p", "_e"))
+        level = checkpointed(expanded(level, arcs, reached, k))
         if level.isEmpty():
             break
-        reached = checkpointed(reached.unionByName(level))
+        reached = reached.unionByName(level)
+    return weighed(reached, arcs, depth)
+
+
+def started(seeds: DataFrame) -> DataFrame:
+    """Level 0 of a walk: (session, idx, depth, via, pos) of the seeds."""
+    return seeds.select("session", F.col("seed").alias("idx"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("via"), F.lit(1).alias("pos"))
+
+
+def expanded(level: DataFrame, arcs: DataFrame, reached: DataFrame, k: int) -> DataFrame:
+    """Level ``k``: what the arcs out of the level before it lead to, and was not reached before."""
+    order = W.partitionBy("session").orderBy("_p", F.desc("_e"), F.desc("idx"))
+    out = level.select("session", F.col("idx").alias("to_idx"), F.col("pos").alias("_p")).join(arcs, ["session", "to_idx"])
+    new = out.join(reached.select("session", F.col("idx").alias("from_idx")), ["session", "from_idx"], "left_anti")
+    found = new.groupBy("session", F.col("from_idx").alias("idx")).agg(F.min(F.struct("_p", (-F.col("e")).alias("_e"), "to_idx")).alias("_best"))
+    ranked = found.select("session", "idx", F.lit(k).alias("depth"), F.col("_best.to_idx").alias("via"), F.col("_best._p").alias("_p"), (-F.col("_best._e")).alias("_e"))
+    return ranked.withColumn("pos", F.row_number().over(order)).drop("_p", "_e")
+
+
+def weighed(reached: DataFrame, arcs: DataFrame, depth: int) -> DataFrame:
+    """The hits of a walk with the heaviest arc into each, from segments that were expanded."""
     opened = reached.where(F.col("depth") < depth).select("session", F.col("idx").alias("to_idx"))
     weights = arcs.join(opened, ["session", "to_idx"]).groupBy("session", F.col("from_idx").alias("idx")).agg(F.max("e").alias("w"))
     return reached.where("depth > 0").join(weights, ["session", "idx"])

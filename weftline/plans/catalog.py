@@ -6,84 +6,12 @@ arms. Every query covers its whole tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions import costs, stats, text
 from weftline.operators import assembly, chunker, matrix, paired, pairs, quality, recall, rollup, segments, timejoin
-from weftline.plans.policy import RULES
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-#: Thresholds for lexical scores, which are lower than a model's.
-LOW, HIGH = 0.2, 0.55
-#: Decay of 36 hours in milliseconds, and the walk depth of the default policy.
-SCALE, DEPTH = 36 * 3_600_000.0, RULES["recall.depth"].default
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name, with its SQL where there is one."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.from_messages(table(spark, sf_dir, "conversations"))
-
-
-def event_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.from_events(table(spark, sf_dir, "events"))
-
-
-def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in cols})
-
-
-WIDE = "[^㐀-䶿一-鿿豈-﫿぀-ヿ가-힯]"
-TOKENS = f"greatest(1, CAST(ceil(length(regexp_replace({{0}}, '{WIDE}', '', 'g')) + (length({{0}}) - length(regexp_replace({{0}}, '{WIDE}', '', 'g'))) / 4.0) AS BIGINT))"
-SETS = r"list_distinct(list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}_]+'), lambda x: length(x) > 1))"
-SEG = f"""seg AS (
-  SELECT conv_id AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, trim(text)) - 1 AS idx, turn AS seq,
-    CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'assistant' WHEN 'tool' THEN 'toolResult' ELSE 'systemPinned' END AS kind, role, trim(text) AS text, {TOKENS.format("trim(text)")} AS tokens
-  FROM conversations WHERE length(trim(text)) > 0)"""
-OVERLAP = "CASE WHEN least(len(a.s), len(b.s)) > 0 THEN len(list_intersect(a.s, b.s)) / least(len(a.s), len(b.s)) ELSE 0.0 END"
-LEX = f"""toks AS (SELECT *, {SETS.format("text")} AS s FROM seg),
-lex AS (SELECT b.session, a.idx AS from_idx, b.idx AS to_idx, {OVERLAP} AS w FROM toks a JOIN toks b ON a.session = b.session AND a.idx BETWEEN b.idx - 16 AND b.idx - 1)"""
-PLACE = """free AS (SELECT *, row_number() OVER (PARTITION BY session, kind <> 'systemPinned' ORDER BY idx DESC) AS r FROM seg),
-placed AS (SELECT *, CASE WHEN kind = 'systemPinned' THEN 'pinned' WHEN r = 1 THEN 'anchor' WHEN r <= 4 THEN 'tail' ELSE 'history' END AS place FROM free)"""
-EV = """ev AS (SELECT user_id AS session, event_id, epoch_us(ts) // 1000 AS ts, event_type, value, list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) AS topic,
-  row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) - 1 AS idx FROM events)"""
-TOPIC = """sc AS (SELECT b.session, a.idx AS from_idx, b.idx AS to_idx, b.ts AS born,
-  CASE WHEN a.topic = b.topic AND b.idx - a.idx <= 4 THEN 0.82 WHEN a.topic = b.topic THEN 0.62 WHEN abs(a.topic - b.topic) = 1 THEN 0.42 ELSE 0.08 END AS w
-  FROM ev a JOIN ev b ON a.session = b.session AND a.idx BETWEEN b.idx - 16 AND b.idx - 1)"""
-WALK = """seed AS (SELECT session, max(idx) AS idx, max(ts) AS newest FROM ev GROUP BY session),
-arc AS (SELECT sc.session, to_idx, from_idx, w * exp(-greatest(0.0, newest - born) / 129600000.0) AS e FROM sc JOIN seed ON seed.session = sc.session WHERE w * exp(-greatest(0.0, newest - born) / 129600000.0) > 0.55),
-r0 AS (SELECT session, idx, 0 AS depth, CAST(NULL AS BIGINT) AS via, 1 AS pos FROM seed),
-f1 AS (SELECT arc.session, from_idx AS idx, min(ROW(pos, -e, to_idx)) AS best FROM r0 JOIN arc ON arc.session = r0.session AND to_idx = idx WHERE (arc.session, from_idx) NOT IN (SELECT (session, idx) FROM r0) GROUP BY ALL),
-r1 AS (SELECT session, idx, 1 AS depth, best[3] AS via, row_number() OVER (PARTITION BY session ORDER BY best[1], best[2], idx DESC) AS pos FROM f1),
-u1 AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1),
-f2 AS (SELECT arc.session, from_idx AS idx, min(ROW(pos, -e, to_idx)) AS best FROM r1 JOIN arc ON arc.session = r1.session AND to_idx = idx WHERE (arc.session, from_idx) NOT IN (SELECT (session, idx) FROM u1) GROUP BY ALL),
-r2 AS (SELECT session, idx, 2 AS depth, best[3] AS via, row_number() OVER (PARTITION BY session ORDER BY best[1], best[2], idx DESC) AS pos FROM f2),
-u2 AS (SELECT * FROM u1 UNION ALL SELECT * FROM r2),
-f3 AS (SELECT arc.session, from_idx AS idx, min(ROW(pos, -e, to_idx)) AS best FROM r2 JOIN arc ON arc.session = r2.session AND to_idx = idx WHERE (arc.session, from_idx) NOT IN (SELECT (session, idx) FROM u2) GROUP BY ALL),
-r3 AS (SELECT session, idx, 3 AS depth, best[3] AS via, row_number() OVER (PARTITION BY session ORDER BY best[1], best[2], idx DESC) AS pos FROM f3),
-hits AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3),
-weights AS (SELECT arc.session, from_idx AS idx, max(e) AS w FROM arc JOIN u2 ON u2.session = arc.session AND u2.idx = to_idx GROUP BY ALL)"""
-
+from weftline.plans.registry import DEPTH, EV, HIGH, LEX, LOW, PLACE, SCALE, SEG, SETS, TOKENS, TOPIC, WALK, event_segments, messages, query, rounded, table
 
 # ---- texts and segments
 
@@ -299,7 +227,11 @@ def delta_delivery(spark, sf_dir):
     return assembly.missing(wanted, placed.where("place IN ('tail', 'anchor')")).select("session", "idx", "payload")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEG}, fold AS (
+  SELECT session, idx, tokens, tokens <= 300 AS delivered, CASE WHEN tokens <= 300 THEN tokens ELSE 0 END AS used, CAST(tokens <= 300 AS INT) AS n FROM seg WHERE idx = 0
+  UNION ALL SELECT s.session, s.idx, s.tokens, used + s.tokens <= 300 AND n < 4, CASE WHEN used + s.tokens <= 300 AND n < 4 THEN used + s.tokens ELSE used END, CASE WHEN used + s.tokens <= 300 AND n < 4 THEN n + 1 ELSE n END
+  FROM fold JOIN seg s ON s.session = fold.session AND s.idx = fold.idx + 1)
+SELECT session, idx, idx AS pos, tokens, delivered FROM fold""")
 def delivery_budget(spark, sf_dir):
     seg = messages(spark, sf_dir).withColumn("pos", F.col("idx"))
     return assembly.within_budget(seg, 300, 4)
