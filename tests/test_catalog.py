@@ -7,7 +7,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from weftline.plans import catalog, delivery_queries, demand_queries  # noqa: F401
+from weftline.plans import catalog, delivery_queries, demand_queries, log_queries  # noqa: F401
 from weftline.plans.registry import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
