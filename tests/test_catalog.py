@@ -45,36 +45,40 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_chunks_stay_within_the_budget_and_keep_every_word(spark):
-    from weftline.operators.chunker import chunks, tokens
+    from weftline.operators.chunker import chunked, tokens
 
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
-    for d in docs:
-        parts = chunks(d.text, 128, 16)
-        assert all(tokens(p) <= 128 for p in parts)
-        assert set("".join(d.text.split())) == set("".join("".join(parts).split()))
-    rows = QUERIES["block_chunks"](spark, DATA).collect()
-    assert len(rows) == sum(len(chunks(d.text)) for d in docs)
+    docs = {d.doc_id: d.text for d in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    rows = chunked(spark.read.parquet(f"{DATA}/documents.parquet"), "doc_id", "text", 128, 16).collect()
+    parts = {}
+    for r in rows:
+        assert r.tokens == tokens(r.text) <= 128
+        parts.setdefault(r.chunk_of if r.chunk_of is not None else int(r.chunk_id), []).append(r.text)
+    assert parts.keys() == docs.keys() and all(set("".join("".join(parts[i]).split())) == set("".join(t.split())) for i, t in docs.items())
 
 
-def test_chunker_keeps_fences_and_lists_whole():
+def test_blocks_of_lists_fences_and_headings(spark):
     from weftline.operators.chunker import blocks
 
-    text = "# head\nintro\n\n```py\na\n\nb\n```\n- one\n\n- two\nafter"
-    assert blocks(text) == ["# head\nintro", "```py\na\n\nb\n```", "- one\n\n- two", "after"]
-
-
-def test_blocks_of_lists_fences_and_headings():
-    from weftline.operators.chunker import blocks
-
-    assert blocks("intro:\n- one\n- two\n\n- three\n  more\n\nend") == ["intro:\n- one\n- two\n\n- three", "  more", "end"]
-    assert blocks("a\r\n# h\r\nb\n\n\n\nc") == ["a", "# h\nb", "c"]
-    assert blocks("- x\n# h\n~~~\n```\n~~~ \nz") == ["- x", "# h", "~~~\n```\n~~~ ", "z"]
-    assert blocks("") == blocks(" \n\t\n") == []
-    assert blocks("```\nnever closed\n\nx") == ["```\nnever closed\n\nx"]
+    cases = {
+        "# head\nintro\n\n```py\na\n\nb\n```\n- one\n\n- two\nafter": ["# head\nintro", "```py\na\n\nb\n```", "- one\n\n- two", "after"],
+        "intro:\n- one\n- two\n\n- three\n  more\n\nend": ["intro:\n- one\n- two\n\n- three", "  more", "end"],
+        "a\r\n# h\r\nb\n\n\n\nc": ["a", "# h\nb", "c"],
+        "- x\n# h\n~~~\n```\n~~~ \nz": ["- x", "# h", "~~~\n```\n~~~ ", "z"],
+        "": [],
+        " \n\t\n": [],
+        "```\nnever closed\n\nx": ["```\nnever closed\n\nx"],
+        "```\na\n```\n```\nb\n```\n\n- i\n\n```\nc\n```": ["```\na\n```", "```\nb\n```", "- i\n", "```\nc\n```"],
+        "# a\n# b\n- c\n# d": ["# a", "# b\n- c", "# d"],
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "id long, text string")
+    got = {}
+    for r in blocks(rows).orderBy("id", "block").collect():
+        got.setdefault(r.id, []).append(r.text)
+    assert [got.get(i, []) for i in range(len(cases))] == list(cases.values())
 
 
 def test_chunks_by_hand():
-    from weftline.operators.chunker import by_sentence, chunks, packed_lines
+    from weftline.operators.chunker import by_sentence, chunks
 
     # sentences of 8 characters, two tokens each: pieces of two that share one; pieces end at cuts, so what follows the last is on its own
     assert by_sentence("aaaaaa. bbbbbb. cccccc. dddddd.", 4, 2) == ["aaaaaa. bbbbbb.", "bbbbbb. cccccc.", "cccccc.", "dddddd."]
@@ -84,11 +88,13 @@ def test_chunks_by_hand():
     # wide characters are a token each
     assert by_sentence("一二三四五", 2, 1) == ["一二", "二三", "三四", "四五"]
     # lines of a token each; the last one again; a long line is cut and stands alone, what is left of it is packed
-    assert packed_lines(["aaaa", "bbbb", "cccc"], 3, 1) == ["aaaa\nbbbb", "bbbb\ncccc"]
-    assert packed_lines(["aaaa", "bbbbbbbbbbbbbbbb"], 3, 0) == ["aaaa", "bbbbbbbbbbbb", "bbbb"]
+    lines = lambda t, budget, overlap: chunks(t, [t], budget, overlap)
+    assert lines("aaaa\nbbbb\ncccc", 3, 1) == ["aaaa\nbbbb", "bbbb\ncccc"]
+    assert lines("aaaa\nbbbbbbbbbbbbbbbb", 3, 0) == ["aaaa", "bbbbbbbbbbbb", "bbbb"]
     # blocks within the budget are packed whole, and a trailing one within the overlap is carried on
-    assert chunks("aaaaaaaa\n\nbbbb\n\ncccccccc", 4, 1) == ["aaaaaaaa\n\nbbbb", "bbbb\n\ncccccccc"]
-    assert chunks("short", 4, 1) == ["short"] and chunks("", 4, 1) == [""]
+    assert chunks("", ["aaaaaaaa", "bbbb", "cccccccc"], 4, 1) == ["aaaaaaaa\n\nbbbb", "bbbb\n\ncccccccc"]
+    # what a long block finds before it stands alone if it leaves no room
+    assert chunks("", ["aaaa", "bbbbbbbb. cccccccc."], 3, 1) == ["aaaa", "aaaa", "bbbbbbbb.", "cccccccc."]
 
 
 def test_delivery_budget_defers_and_goes_on(spark):
