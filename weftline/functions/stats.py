@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,6 +95,15 @@ def draw(k: Column, seed: int) -> Column:
     return t.bitwiseXOR(F.shiftrightunsigned(t, 14)) / 4294967296
 
 
+def draws(first: int, count: int, seed: int) -> np.ndarray:
+    """The draws of number ``first`` and those after it, as ``draw`` makes them."""
+    low = np.uint64(0xFFFFFFFF)
+    a = (np.uint64(seed) + (np.arange(first, first + count, dtype=np.uint64) & low) * np.uint64(0x6D2B79F5)) & low
+    t = ((a ^ (a >> np.uint64(15))) * (a | np.uint64(1))) & low
+    t ^= (t + (t ^ (t >> np.uint64(7))) * (t | np.uint64(61))) & low
+    return (t ^ (t >> np.uint64(14))) / 4294967296
+
+
 def at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, Column]) -> DataFrame:
     """(group, names of ranks): the values at ranks (from 0, expressions over the group's size ``n``) of each group in order.
 
