@@ -4,18 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.functions.stats import asymptotic_fits, draws, mcnemar_asymptotic, mcnemar_exact, shifted_margin
+from weftline.functions.stats import asymptotic_fits, mcnemar_asymptotic, mcnemar_exact, shifted_margin
 from weftline.operators.checkpoints import checkpointed
-from weftline.operators.paired import discordance
-
-#: Positions of a block and resamples of a range that one task works on, and draws it makes at a time.
-BLOCK, RANGE, STEP = 1_000_000, 250, 2_000_000
+from weftline.operators.paired import discordance, resampled
 
 
 @dataclass(frozen=True)
@@ -72,35 +67,6 @@ class Analysis:
     secondary: DataFrame
 
 
-def resampled(rows: DataFrame, by: list[str], resamples: int, seed: int) -> DataFrame:
-    """(by..., resample, total, n): sums of n differences (by..., pos from 0, n, d) drawn with replacement.
-
-    Draws are functions of their number, so that every series of the same n sees the same draws. A task has a block of positions and a range of resamples, makes
-    the range's draws anew and sums those that fall into its block: differences are moved once for each range, draws never.
-    """
-
-    def sums(table: pa.Table) -> pa.Table:
-        first = table.slice(0, 1)
-        n, block, part = (int(first.column(c)[0].as_py()) for c in ("n", "_block", "_range"))
-        d = np.zeros(BLOCK)
-        pos = table.column("pos").to_numpy() - block * BLOCK
-        d[pos] = table.column("d").to_numpy().astype(np.float64)
-        ids = np.arange(part * RANGE, min((part + 1) * RANGE, resamples))
-        totals = np.zeros(len(ids))
-        for i, r in enumerate(ids.tolist()):
-            for a in range(0, n, STEP):
-                at = np.floor(draws(r * n + a + 1, min(STEP, n - a), seed) * n).astype(np.int64) - block * BLOCK
-                totals[i] += d[at[(at >= 0) & (at < BLOCK)]].sum()
-        keys = [pa.chunked_array([first.column(c).combine_chunks().take(pa.array(np.zeros(len(ids), np.int64)))]) for c in by]
-        return pa.table([*keys, pa.array(ids), pa.array(totals), pa.array(np.full(len(ids), n))], names=[*by, "resample", "total", "n"])
-
-    kinds = dict(rows.dtypes)
-    ranges = F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // RANGE)))
-    parts = rows.select(*by, F.col("pos").cast("long"), F.col("n").cast("long"), F.col("d").cast("double"), F.floor(F.col("pos") / BLOCK).alias("_block"), ranges.alias("_range"))
-    done = parts.groupBy(*by, "_block", "_range").applyInArrow(sums, ", ".join(f"{c} {kinds[c]}" for c in by) + ", resample long, total double, n long")
-    return done.groupBy(*by, "resample").agg(F.sum("total").alias("total"), F.max("n").alias("n"))
-
-
 def analyze(results: DataFrame, plan: Plan) -> Analysis:
     """The comparison of every experiment ``by`` in (by, key, arm, metric, value), by the plan.
 
