@@ -34,7 +34,8 @@ def contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
 
     Both sides have (_by, _id, _text), ids unique in their ``_by``. A needle's windows have the same least grams wherever they stand, so a
     hay that holds it has all of them. Of a needle's grams the one that fewest hays have is its anchor; it meets only those hays, and is
-    looked for in their texts. A needle with a gram that no hay has is in none. Empty and null texts are in none.
+    looked for in their texts. A needle with a gram that no hay has is in none. Empty and null texts are in none. All pairs are found: give equal texts as one row, so that
+    copies of each other are not paired one by one.
 
     Texts meet by gram, not by ``_by``: a group of any size is spread over all tasks, and the texts themselves are moved only for
     pairs that share an anchor.
@@ -47,7 +48,7 @@ def contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
     counts = grams.groupBy("_by", "_tier", "_gram").agg(F.count("*").alias("_n"))
     wanted = _gram_rows(needles, None).join(counts, ["_by", "_tier", "_gram"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     anchors = wanted.groupBy("_by", F.col("_id").alias("_needle")).agg(F.min(F.struct("_n", "_tier", "_gram")).alias("_a")).where("_a._n > 0").select("_by", "_needle", "_a._tier", "_a._gram")
-    pairs = anchors.join(grams.withColumnRenamed("_id", "_hay"), ["_by", "_tier", "_gram"]).select("_by", "_needle", "_hay").distinct()
+    pairs = anchors.join(grams.withColumnRenamed("_id", "_hay"), ["_by", "_tier", "_gram"]).select("_by", "_needle", "_hay")
     small = needles.select("_by", F.col("_id").alias("_needle"), F.col("_text").alias("_short"))
     large = hays.select("_by", F.col("_id").alias("_hay"), "_text")
     return pairs.join(small, ["_by", "_needle"]).join(large, ["_by", "_hay"]).where(F.contains("_text", "_short")).select("_by", "_needle", "_hay")
