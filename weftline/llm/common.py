@@ -177,7 +177,10 @@ def range_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     up, down = _prime_power(len(units) + 1)
     prime = np.uint64(_PRIME)
     total = np.zeros(len(units) + 1, np.uint64)
-    np.cumsum((units.astype(np.uint64) % prime + np.uint64(1)) * up[:-1] % prime, out=total[1:])
+    if units.dtype.itemsize == 1 and len(units) < 1 << 23:  # sums of bytes times powers stay within 64 bits
+        np.cumsum((units.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+    else:
+        np.cumsum((units.astype(np.uint64) % prime + np.uint64(1)) * up[:-1] % prime, out=total[1:])
     sound = (total[ends] - total[starts]) % prime * down[starts] % prime
     return mixed(_plain_hashes(units, starts, ends) ^ mixed(sound + np.uint64(1)))
 
