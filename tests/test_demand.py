@@ -86,7 +86,7 @@ def swept(rows, window, most, settled, anchor, refused, answered):
 def test_sweep(spark, most, anchored):
     random.seed(8)
     lengths = [1, 2, 9, 30, 31, 12]
-    seg = spark.createDataFrame([(s, i, 0, "a b") for s, n in enumerate(lengths) for i in range(n)], "session long, idx long, ts long, text string")
+    seg = spark.createDataFrame([(s, i, 0, "aa bb") for s, n in enumerate(lengths) for i in range(n)], "session long, idx long, ts long, text string")
     pick = lambda share: {s: {i for i in range(n) if random.random() < share} for s, n in enumerate(lengths)}
     settled, refused, answered = pick(0.2), pick(0.05), pick(0.7)
     flat = lambda d: spark.createDataFrame([(s, i) for s, xs in d.items() for i in xs], "session long, idx long")

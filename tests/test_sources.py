@@ -138,7 +138,20 @@ def test_activity_of_a_table(spark):
     assert activity(events).agg({"n": "sum"}).first()[0] == events.count()
 
 
-def test_entry_without_the_corpus_subpackage(spark):
+def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_without_the_corpus_subpackage(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "weftline", tmp_path / "weftline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; names = set(e.queries()); assert 'recall_tree' in names and not [n for n in names if n.startswith('op') or n == 'pipeline']; assert set(e.oracle_sql()) <= names"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=100)
