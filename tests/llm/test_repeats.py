@@ -109,6 +109,17 @@ def test_range_hashes_tell_long_patterns_apart():
         assert h[0] != h[1] and h[0] == h[2]
 
 
+def test_range_hashes_tell_short_ranges_apart():
+    from weftline.llm.common import range_hashes
+
+    for kind in (np.uint8, np.uint64):
+        data = np.arange(256).astype(kind)
+        one = range_hashes(data, np.arange(256), np.arange(1, 257))
+        two = range_hashes(np.repeat(data, 2), np.arange(0, 512, 2), np.arange(2, 513, 2))
+        every = [range_hashes(data, np.arange(256 - n), np.arange(n, 256)) for n in range(3, 9)]
+        assert len(np.unique(np.concatenate([one, two, *every]))) == 512 + sum(map(len, every))
+
+
 @pytest.mark.parametrize("pair", [("w199452", "w287357"), ("w122419", "w294087"), thue_morse(1024), thue_morse(4096)])
 def test_words_that_hashes_may_take_for_one(spark, pair):
     rest = [f"x{i}" for i in range(12)]

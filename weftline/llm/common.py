@@ -182,7 +182,7 @@ def range_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     else:
         np.cumsum((units.astype(np.uint64) % prime + np.uint64(1)) * up[:-1] % prime, out=total[1:])
     sound = (total[ends] - total[starts]) % prime * down[starts] % prime
-    return mixed(_plain_hashes(units, starts, ends) ^ mixed(sound + np.uint64(1)))
+    return mixed(_plain_hashes(units, starts, ends) + (sound + np.uint64(1)) * _BASE)
 
 
 def gram_hashes(units: np.ndarray, n: int) -> np.ndarray:
