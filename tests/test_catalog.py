@@ -7,7 +7,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from weftline.plans import analysis_queries, catalog, cell_queries, delivery_queries, demand_queries, log_queries, state_queries, tree_queries  # noqa: F401
+from weftline.plans import analysis_queries, catalog, cell_queries, delivery_queries, demand_queries, evidence_queries, log_queries, state_queries, tree_queries  # noqa: F401
 from weftline.plans.registry import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

@@ -384,19 +384,16 @@ def knob_conflicts(spark, sf_dir):
 ACTIVITY = "cells AS (SELECT a.session, a.idx, b.idx AS invocation, CASE WHEN a.idx = b.idx THEN 'root' WHEN a.idx > b.idx THEN 'absent' WHEN a.idx >= b.idx - 16 THEN 'candidate' ELSE 'existed' END AS state FROM ev a JOIN ev b ON a.session = b.session WHERE b.event_type = 'click')"
 
 
-def _cells(spark, sf_dir):
-    ev = event_segments(spark, sf_dir)
-    return matrix.activity(ev, ev.where("event_type = 'click'"), 16)
-
-
 @query(f"WITH {EV}, {ACTIVITY} SELECT session, state, count(*) AS n FROM cells GROUP BY ALL")
 def activity_matrix(spark, sf_dir):
-    return _cells(spark, sf_dir).groupBy("session", "state").agg(F.count("*").alias("n"))
+    ev = event_segments(spark, sf_dir)
+    return matrix.activity_counts(ev, ev.where("event_type = 'click'"), 16)
 
 
 @query(f"""WITH {EV}, {ACTIVITY} SELECT session, CAST(floor(idx / 8) AS BIGINT) AS row, CAST(floor(invocation / 8) AS BIGINT) AS col, ['absent', 'existed', 'candidate', 'root'][max(list_position(['absent', 'existed', 'candidate', 'root'], state))] AS state, count(*) AS cells FROM cells GROUP BY 1, 2, 3""")
 def block_rollup(spark, sf_dir):
-    return matrix.tiles(_cells(spark, sf_dir), 8, 8)
+    ev = event_segments(spark, sf_dir)
+    return matrix.tiles(ev, ev.where("event_type = 'click'"), 16, 8, 8)
 
 
 # ---- statistics
