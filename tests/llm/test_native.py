@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -174,6 +175,16 @@ def test_recurring_lines_go_whatever_share_of_the_text_they_are(spark):
     assert got == {i: (3, f"{'abcdef'[i] * 7} alone") for i in range(6)} | {10 + i: (0, alone) for i in range(7)}
 
 
+def test_texts_of_very_many_recurring_lines(spark):
+    shared = ["".join(chr(97 + int(c)) for c in f"{i:06d}") + " recurs in all of these texts" for i in range(60_000)]
+    rows = [(d, "\n".join([f"{'ghijklm'[d] * 7} is the first line of its text alone", *shared])) for d in range(6)]
+    begun = time.monotonic()
+    got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert sorted((r.doc_id, r.n_dropped, r.text) for r in got) == [(d, 60_000, text.split("\n")[0]) for d, text in rows]
+    # a search of all lines for each line would take 2 x 10^10 steps
+    assert time.monotonic() - begun < 120
+
+
 def test_line_edges(spark):
     got = line_dedup(edges(spark), min_docs=2).collect()
     assert len(got) == 12 and {r.n_lines for r in got if r.doc_id in (2, 3)} == {1}

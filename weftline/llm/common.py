@@ -80,10 +80,11 @@ _folders: list[str] = []
 
 
 def _delete_folders() -> None:
-    jvm = SparkContext._jvm
-    if jvm is None or SparkContext._gateway is None:
+    """Deletes the tables by the session's own Hadoop settings; a session that was stopped before leaves them to the folder's owner."""
+    jvm, session = SparkContext._jvm, SparkSession.getActiveSession()
+    if jvm is None or session is None or session.sparkContext._jsc is None or session.sparkContext._jsc.sc().isStopped():
         return
-    conf = jvm.org.apache.hadoop.conf.Configuration()
+    conf = session._jsparkSession.sessionState().newHadoopConf()
     for folder in _folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)

@@ -34,20 +34,31 @@ def _leaf(line: Column) -> Column:
     return F.xxhash64(n, masked(F.substring_index(line, " ", DEPTH)))
 
 
+def _held(found: Column, item: Column) -> Column:
+    """Whether a sorted array holds an item, by halving steps: what a line costs grows with the logarithm of its text's lines."""
+    steps = F.array(*(F.lit(1 << b) for b in reversed(range(31))))
+    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when((step <= F.size(found) - at) & (F.get(found, at + step - 1) <= item), at + step).otherwise(at))
+    return F.coalesce(F.get(found, place - 1) == item, F.lit(False))
+
+
+def _hashed(lines: Column, key) -> Column:
+    return F.transform(lines, lambda s: F.struct(s.alias("line"), key(s).alias("key")))
+
+
 def recurring_lines(docs: DataFrame, min_docs: int) -> DataFrame:
     """(_id, _k, _lines): hashes of the lines of each ``keyed`` document whose template recurs."""
     lines = F.array_distinct(F.filter(F.split("_text", "\n"), lambda s: F.trim(s) != ""))
     leaves = checkpointed(docs.select("_id", "_k", F.explode(F.array_distinct(F.transform(lines, _leaf))).alias("_leaf")))
     shared = leaves.groupBy("_leaf").agg(F.count("_id").alias("_n")).where(F.col("_n") >= min_docs).select("_leaf")
-    wanted = leaves.join(shared, "_leaf").groupBy("_id", "_k").agg(F.collect_set("_leaf").alias("_leaves"))
-    found = docs.join(wanted, ["_id", "_k"]).select("_id", "_k", F.explode(F.filter(lines, lambda s: F.array_contains(F.col("_leaves"), _leaf(s)))).alias("_own"))
-    found = checkpointed(found.select("_id", "_k", _leaf(F.col("_own")).alias("_leaf"), masked(F.col("_own")).alias("_line"), F.xxhash64("_own").alias("_hash")))
+    wanted = leaves.join(shared, "_leaf").groupBy("_id", "_k").agg(F.sort_array(F.collect_set("_leaf")).alias("_leaves"))
+    found = docs.join(wanted, ["_id", "_k"]).select("_id", "_k", F.explode(F.filter(_hashed(lines, _leaf), lambda x: _held(F.col("_leaves"), x["key"]))).alias("_own"))
+    found = checkpointed(found.select("_id", "_k", F.col("_own.key").alias("_leaf"), masked(F.col("_own.line")).alias("_line"), F.xxhash64("_own.line").alias("_hash")))
     variants = checkpointed(found.groupBy("_leaf", "_line").agg(F.count("_id").alias("_n")))
     names = _named(variants)
     # a line of variable fields alone has no template: it is named by what it says
     lines_named = found.join(names, ["_leaf", "_line"]).select("_id", "_k", F.coalesce("_name", F.xxhash64("_leaf", "_hash")).alias("_name"), "_hash")
     recurring = lines_named.select("_k", "_name").distinct().groupBy("_name").agg(F.count("_k").alias("_n")).where(F.col("_n") >= min_docs).select("_name")
-    return lines_named.join(recurring, "_name").groupBy("_id", "_k").agg(F.collect_set("_hash").alias("_lines"))
+    return lines_named.join(recurring, "_name").groupBy("_id", "_k").agg(F.sort_array(F.collect_set("_hash")).alias("_lines"))
 
 
 def _constant(template: Column) -> Column:
@@ -83,8 +94,8 @@ def _named(variants: DataFrame) -> DataFrame:
 
 def _cut(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Rows with ``_id, _k, _text`` and ``_out``, the text without those lines."""
-    kept = F.filter(F.split("_text", "\n"), lambda line: ~F.array_contains(F.col("_lines"), F.xxhash64(line)))
-    return docs.join(lines, ["_id", "_k"], "left").withColumn("_out", F.when(F.col("_lines").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("_text")))
+    kept = F.filter(_hashed(F.split("_text", "\n"), F.xxhash64), lambda x: ~_held(F.col("_lines"), x["key"]))
+    return docs.join(lines, ["_id", "_k"], "left").withColumn("_out", F.when(F.col("_lines").isNotNull(), F.array_join(kept["line"], "\n")).otherwise(F.col("_text")))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
