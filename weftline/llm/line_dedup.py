@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import NO_ID, checkpointed, id_back, keyed
+from weftline.llm.lookup import looked_up
 
 FIELD = "<*>"
 #: Leading tokens that the tree looks at, besides the number of tokens.
@@ -45,20 +46,27 @@ def _hashed(lines: Column, key) -> Column:
     return F.transform(lines, lambda s: F.struct(s.alias("line"), key(s).alias("key")))
 
 
+def _of_all(rows: DataFrame, found: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``looked_up`` with keys weighed against all rows, so that a line that very many documents share meets its key in every task."""
+    return looked_up(rows, found, keys, weight, rows.count())
+
+
 def recurring_lines(docs: DataFrame, min_docs: int) -> DataFrame:
     """(_id, _k, _lines): hashes of the lines of each ``keyed`` document whose template recurs."""
     lines = F.array_distinct(F.filter(F.split("_text", "\n"), lambda s: F.trim(s) != ""))
     leaves = checkpointed(docs.select("_id", "_k", F.explode(F.array_distinct(F.transform(lines, _leaf))).alias("_leaf")))
-    shared = leaves.groupBy("_leaf").agg(F.count("_id").alias("_n")).where(F.col("_n") >= min_docs).select("_leaf")
-    wanted = leaves.join(shared, "_leaf").groupBy("_id", "_k").agg(F.sort_array(F.collect_set("_leaf")).alias("_leaves"))
+    shared = checkpointed(leaves.groupBy("_leaf").agg(F.count("_id").alias("_n")).where(F.col("_n") >= min_docs).withColumn("_shared", F.lit(True)))
+    wanted = _of_all(leaves, shared, ["_leaf"], "_n").where("_shared").groupBy("_id", "_k").agg(F.sort_array(F.collect_set("_leaf")).alias("_leaves"))
     found = docs.join(wanted, ["_id", "_k"]).select("_id", "_k", F.explode(F.filter(_hashed(lines, _leaf), lambda x: _held(F.col("_leaves"), x["key"]))).alias("_own"))
     found = checkpointed(found.select("_id", "_k", F.col("_own.key").alias("_leaf"), masked(F.col("_own.line")).alias("_line"), F.xxhash64("_own.line").alias("_hash")))
     variants = checkpointed(found.groupBy("_leaf", "_line").agg(F.count("_id").alias("_n")))
-    names = _named(variants)
+    names = checkpointed(_named(variants))
     # a line of variable fields alone has no template: it is named by what it says
-    lines_named = found.join(names, ["_leaf", "_line"]).select("_id", "_k", F.coalesce("_name", F.xxhash64("_leaf", "_hash")).alias("_name"), "_hash")
-    recurring = lines_named.select("_k", "_name").distinct().groupBy("_name").agg(F.count("_k").alias("_n")).where(F.col("_n") >= min_docs).select("_name")
-    return lines_named.join(recurring, "_name").groupBy("_id", "_k").agg(F.sort_array(F.collect_set("_hash")).alias("_lines"))
+    named = _of_all(found, names, ["_leaf", "_line"], "_n").select("_id", "_k", F.coalesce("_name", F.xxhash64("_leaf", "_hash")).alias("_name"), "_hash")
+    named = checkpointed(named)
+    texts = named.groupBy("_k", "_name").agg(F.count("_k").alias("_n")).groupBy("_name").agg(F.count("_k").alias("_texts"), F.sum("_n").alias("_n"))
+    recurring = checkpointed(texts.where(F.col("_texts") >= min_docs))
+    return _of_all(named, recurring, ["_name"], "_n").where("_texts IS NOT NULL").groupBy("_id", "_k").agg(F.sort_array(F.collect_set("_hash")).alias("_lines"))
 
 
 def _constant(template: Column) -> Column:
@@ -66,7 +74,7 @@ def _constant(template: Column) -> Column:
 
 
 def _named(variants: DataFrame) -> DataFrame:
-    """(_leaf, _line, _name) of masked lines (_leaf, _line, _n): the hash of the template that a line fits, or of the line itself; null
+    """(_leaf, _line, _name, _n) of masked lines (_leaf, _line, _n): the hash of the template that a line fits, or of the line itself; null
     if the line has too few tokens of its own for either.
 
     Each round takes the lines of a node that fit its template, if enough of its tokens are constant, and splits the others by the position
@@ -86,7 +94,7 @@ def _named(variants: DataFrame) -> DataFrame:
         name = F.when(fits, F.xxhash64("_leaf", F.array_join("_template", " "))).when(_constant(own), F.xxhash64("_leaf", "_line"))
         judged = rest.join(nodes, "_node").select("_leaf", "_line", "_n", "_node", fits.alias("_fits"), name.alias("_name"), F.xxhash64("_node", "_by", F.get(own, F.coalesce("_by", F.lit(-1)))).alias("_next"))
         judged = judged if last else checkpointed(judged)
-        ready = (judged if last else judged.where("_fits")).select("_leaf", "_line", "_name")
+        ready = (judged if last else judged.where("_fits")).select("_leaf", "_line", "_name", "_n")
         done = ready if done is None else done.union(ready)
         rest = judged.where("NOT _fits").select("_leaf", "_line", "_n", F.col("_next").alias("_node"))
     return done
