@@ -225,7 +225,7 @@ t AS (SELECT *, CASE j WHEN 1 THEN 'look at ' || k WHEN 2 THEN 'wait' WHEN 3 THE
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY j) AS step FROM t WHERE content IS NOT NULL AND trim(content) <> '' AND status NOT IN ('dropped', 'completed'))
 SELECT session, event_id, step, 'p' || step AS id, trim(content) AS summary FROM r WHERE step <= 3"""
 )
-def open_todos(spark, sf_dir):
+def todos_open(spark, sf_dir):
     """The open steps of to-do lists that purchases log; a list has items of other shapes and states too."""
     k = F.col("k")
     state = lambda j: F.when((k + j) % 3 == 0, "completed").when((k + j) % 3 == 1, "pending").otherwise("in_progress")
