@@ -162,7 +162,7 @@ def not_contained(rows: DataFrame) -> DataFrame:
 
     As containment is transitive, that is one that any earlier text contains. An empty text is in every earlier one.
     """
-    found = contained(*[texts(rows, ["session", "parent"], "pos", "text")] * 2).where("_hay < _needle").select("_by.session", "_by.parent", F.col("_needle").alias("pos")).distinct()
+    found = contained(*[texts(rows, ["session", "parent"], "pos", "text")] * 2, same=True).where("_hay < _needle").select("_by.session", "_by.parent", F.col("_needle").alias("pos")).distinct()
     first = F.min("pos").over(W.partitionBy("session", "parent"))
     told = rows.withColumn("_first", first).join(found.withColumn("_in", F.lit(True)), ["session", "parent", "pos"], "left")
     empty = (F.length("text") == 0) & (F.col("pos") > F.col("_first"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.operators import assembly, segments
-from weftline.operators.containment import contained
+from weftline.operators.containment import held_lines
 from weftline.plans.registry import PLACE, SEG, TOKENS, messages, query, table
 
 
@@ -13,18 +13,10 @@ from weftline.plans.registry import PLACE, SEG, TOKENS, messages, query, table
 found AS (SELECT doc_id, EXISTS (SELECT 1 FROM documents o WHERE coalesce(o.source, '') = coalesce(l.source, '') AND o.doc_id <> l.doc_id AND contains(o.text, l.line)) AS hit FROM l)
 SELECT doc_id, count(*) AS lines, count(*) FILTER (hit) AS held FROM found GROUP BY doc_id""")
 def contained_lines(spark, sf_dir):
-    """How many of a document's different lines of at least 128 characters another document of its source holds.
-
-    Copies of a text are one row with their number, and so are equal lines: a line that two documents hold is held by another one for each of them.
-    """
+    """How many of a document's different lines of at least 128 characters another document of its source holds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("_by"), F.coalesce("text", F.lit("")).alias("_text"))
-    kinds = docs.groupBy("_by", "_text").agg(F.count("*").alias("_copies")).withColumn("_id", F.sha2("_text", 256))
-    lines = kinds.select("_by", F.col("_id").alias("_hay"), F.explode(F.array_distinct(F.split("_text", "\n"))).alias("_line")).where(F.length("_line") >= 128)
-    needles = lines.groupBy("_by", F.col("_line").alias("_text")).agg(F.sha2("_line", 256).alias("_id"))
-    found = contained(needles, kinds.select("_by", "_id", "_text")).join(kinds.select("_by", F.col("_id").alias("_hay"), "_copies"), ["_by", "_hay"])
-    shared = found.groupBy("_by", "_needle").agg(F.sum("_copies").alias("_docs")).where("_docs > 1").select("_by", "_needle", F.lit(1).alias("_held"))
-    told = lines.select("_by", "_hay", F.sha2("_line", 256).alias("_needle")).join(shared, ["_by", "_needle"], "left").groupBy("_by", "_hay").agg(F.count("*").alias("lines"), F.count("_held").alias("held"))
-    return docs.select("doc_id", "_by", F.sha2("_text", 256).alias("_hay")).join(told, ["_by", "_hay"]).select("doc_id", "lines", "held")
+    lines = docs.select("_by", F.col("doc_id").alias("_doc"), F.explode(F.array_distinct(F.split("_text", "\n"))).alias("_line")).where(F.length("_line") >= 128)
+    return held_lines(lines).select(F.col("_doc").alias("doc_id"), "lines", "held")
 
 
 def _surface(spark, sf_dir):
