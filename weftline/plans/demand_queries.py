@@ -31,7 +31,7 @@ NEAR = Scorer(LOCAL, lambda: [F.col("value")], lambda rows: rows.withColumn("w",
 def _demanded(spark, sf_dir) -> demand.Demanded:
     """Purchases were scored by the model before, views have a local guess; each eleventh event is held."""
     seg = event_segments(spark, sf_dir)
-    before = pairs.topic_scores(seg).join(seg.where("topic IN (3, 5)").select("session", F.col("idx").alias("to_idx"), "topic"), ["session", "to_idx"])
+    before = pairs.scored(seg, TOPICS).where("b.topic IN (3, 5)").withColumns({"topic": F.col("b.topic"), "at": F.col("b.ts")})
     w, source = F.when(F.col("topic") == 3, F.col("w")).otherwise(0.75), F.when(F.col("topic") == 3, MODEL).otherwise(LOCAL)
     scored = before.select("session", "from_idx", "to_idx", w.alias("w"), source.alias("source"), "at")
     seeds = seg.groupBy("session").agg(F.max("idx").alias("seed"), F.max("ts").alias("now"))
