@@ -7,6 +7,7 @@ extra input columns never clash. A null text counts as empty, a null id as ``NO_
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -127,7 +128,15 @@ def chunks(batches, text: str = "_text", limit: int = CHUNK):
         cuts = np.unique(np.concatenate(([0], cuts, [batch.num_rows])))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()  # an idle worker holds no buffers
+    release_memory()
+
+
+def release_memory() -> None:
+    """Gives what is free back to the system, Arrow's buffers and the C library's: workers wait for their next task and would hold it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def column(batch: pa.RecordBatch, name: str) -> np.ndarray:

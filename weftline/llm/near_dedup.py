@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import FEW, NO_ID, PLAIN, checkpointed, chunks, column, gram_hashes, id_back, keyed, mixed, range_hashes, saved, utf8, word_spans
+from weftline.llm.common import FEW, NO_ID, PLAIN, checkpointed, chunks, column, gram_hashes, id_back, keyed, mixed, range_hashes, release_memory, saved, utf8, word_spans
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -136,7 +136,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
             for part in chunks([batch], "_a"):
                 for some in chunks([part], "_b"):
                     yield rows(some)
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     joined = pairs.join(texts.select(F.col("_k").alias("_l"), F.col("_text").alias("_a")), "_l").join(texts.select("_k", F.col("_text").alias("_b")), "_k")
     if "_also" in pairs.columns:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import chunks, range_hashes, utf8
+from weftline.llm.common import chunks, range_hashes, release_memory, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -33,6 +33,8 @@ MARK = "▁"
 KEPT_WORDS, KEPT_PAIRS = 300_000, 250_000
 #: Bytes of text encoded together.
 BATCH = 1 << 20
+#: Rows decoded together.
+DECODED_ROWS = 200
 #: A longer word is encoded by plain merging, as its trie branch would share nothing.
 LONG_WORD = 64
 #: What a character outside a unigram vocabulary scores below its least piece, a fixed value.
@@ -279,29 +281,42 @@ def _encoder(shared) -> Encoder:
     return _encoders[key]
 
 
-def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, ids_col: str = "piece_ids") -> DataFrame:
+def _decoded(ids: list[list[int] | None], pieces: list[bytes]) -> pa.Array:
+    return pa.array([None if x is None else decode(x, pieces) for x in ids], pa.string())
+
+
+def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, ids_col: str = "piece_ids", decoded_col: str | None = None) -> DataFrame:
     """The input's columns and ``piece_ids``, the ids of the pieces of each text (null: empty; empty texts have none).
 
     The ids are those of the SentencePiece library for the model: a space is put before the text, spaces become marks, and
     characters that the vocabulary lacks become byte pieces. Repeated rows give repeated results; an empty table gives no rows.
+    With ``decoded_col`` that column has what the ids decode to (see ``with_decoded``), by the worker that encodes: a task then has one
+    worker instead of two.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
-    if ids_col in docs.columns:
-        raise ValueError(f"there is a column {ids_col} already: name another ids_col")
+    for name, kind in ((ids_col, "ids_col"), (decoded_col, "decoded_col")):
+        if name in docs.columns:
+            raise ValueError(f"there is a column {name} already: name another {kind}")
 
     def rows(batches):
         own = _encoder(shared)
         for batch in chunks(batches, "_text", BATCH):
             ids, at = own.encode(batch.column(batch.schema.get_field_index("_text")))
             rest = [c for c in batch.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in rest), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], [*rest, ids_col])
+            done = pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in rest), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], [*rest, ids_col])
+            if not decoded_col:
+                yield done
+                continue
+            for first in range(0, done.num_rows, DECODED_ROWS):
+                part = done.slice(first, DECODED_ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(part.column(len(rest)).to_pylist(), own.v.decoded)], [*rest, ids_col, decoded_col])
         # an idle worker holds no more than the vocabulary
         own.forget()
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     read = docs.select(row.alias("_row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    return read.mapInArrow(rows, f"_row {read.schema['_row'].dataType.simpleString()}, {ids_col} array<int>").select("_row.*", ids_col)
+    return read.mapInArrow(rows, f"_row {read.schema['_row'].dataType.simpleString()}, {ids_col} array<int>{f", {decoded_col} string" if decoded_col else ""}").select("_row.*", ids_col, *([decoded_col] if decoded_col else []))
 
 
 def with_decoded(encoded: DataFrame, model: str = MODEL, ids_col: str = "piece_ids", out_col: str = "decoded") -> DataFrame:
@@ -316,10 +331,9 @@ def with_decoded(encoded: DataFrame, model: str = MODEL, ids_col: str = "piece_i
 
     def rows(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                texts = [None if x is None else decode(x, shared.value) for x in part.column(part.schema.get_field_index(ids_col)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out_col])
+            for at in range(0, batch.num_rows, DECODED_ROWS):
+                part = batch.slice(at, DECODED_ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(part.column(part.schema.get_field_index(ids_col)).to_pylist(), shared.value)], [*part.schema.names, out_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(rows, f"{schema}, {out_col} string")
@@ -328,5 +342,5 @@ def with_decoded(encoded: DataFrame, model: str = MODEL, ids_col: str = "piece_i
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """``doc_id, n_chars, n_pieces, ids_hash`` (xxhash64 of the ids) and ``same``: whether decoding gives the text back."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    encoded = encode(docs.select(F.col(id_col).alias("doc_id"), text.alias("text")), "text", model)
-    return with_decoded(encoded, model).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size("piece_ids").cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"), (F.col("decoded") == F.col("text")).alias("same"))
+    encoded = encode(docs.select(F.col(id_col).alias("doc_id"), text.alias("text")), "text", model, decoded_col="decoded")
+    return encoded.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size("piece_ids").cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"), (F.col("decoded") == F.col("text")).alias("same"))
