@@ -16,6 +16,8 @@ from weftline.operators.checkpoints import checkpointed
 
 #: Bytes of texts whose grams are worked out at once.
 _AT_ONCE = 1 << 20
+#: Texts of one group, and their bytes, that are compared pair by pair where they meet; texts of larger groups meet by grams.
+FEW_TEXTS, FEW_BYTES = 32, 1 << 20
 #: Buckets of lines by their hash, as many as are broadcast at most.
 _BUCKETS = 1 << 20
 
@@ -64,9 +66,35 @@ def contained(needles: DataFrame, hays: DataFrame, same: bool = False) -> DataFr
     looked for in their texts. A needle with a gram that no hay has is in none. Empty and null texts are in none. All pairs are found: give equal texts as one row, so that
     copies of each other are not paired one by one.
 
-    A hay has grams only for the lengths of the needles of its ``_by``. Texts meet by gram, not by ``_by``: a group of any size is spread over all tasks. With
+    A group of one ``_by`` with ``FEW_TEXTS`` texts or less is compared pair by pair in one place, without grams. In larger ones a hay has grams only for the
+    lengths of the needles of its ``_by``, and texts meet by gram, not by ``_by``: a group of any size is spread over all tasks. With
     ``same`` both sides are the same rows, and a text is not paired with itself; then one with a gram that no other text has is in none.
     """
+    kind = [dict(df.dtypes)["_id"] for df in (needles, hays)]
+    sides = [(hays, same, True)] if same else [(needles, True, False), (hays, False, True)]
+    one, *other = [df.select("_by", "_text", *(F.when(F.lit(is_), F.col("_id")).cast(k).alias(name) for is_, k, name in zip(on, kind, ("_needle", "_hay"), strict=True)), *(F.lit(is_).alias(name) for is_, name in zip(on, ("_sought", "_held"), strict=True))) for df, *on in sides]
+    rows = (one.unionByName(other[0]) if other else one).where("_by IS NOT NULL AND _text IS NOT NULL")
+    # texts are not moved to count them
+    counted = rows.groupBy("_by").agg(F.count("*").alias("_n"), F.sum(F.octet_length("_text")).alias("_size"))
+    many = checkpointed(counted.where((F.col("_n") > FEW_TEXTS) | (F.col("_size") > FEW_BYTES)).select("_by"))
+    large = not many.isEmpty()
+    few = rows.join(many, "_by", "left_anti") if large else rows
+    groups = few.groupBy("_by").agg(F.collect_list(F.struct("_needle", "_hay", "_text", "_sought", "_held")).alias("_g"))
+    pairs = F.flatten(F.transform(F.filter("_g", lambda x: x["_sought"] & (F.length(x["_text"]) > 0)), lambda x: F.transform(F.filter("_g", lambda y: _holds(y, x, same)), lambda y: F.struct(x["_needle"].alias("_needle"), y["_hay"].alias("_hay")))))
+    near = groups.select("_by", F.inline(pairs))
+    if not large:
+        return near
+    rest = checkpointed(rows.join(many, "_by", "left_semi"))
+    return near.unionByName(_by_grams(*(rest.where(on).select("_by", F.col(name).alias("_id"), "_text") for on, name in (("_sought", "_needle"), ("_held", "_hay"))), same))
+
+
+def _holds(hay: Column, needle: Column, same: bool) -> Column:
+    found = hay["_held"] & F.contains(hay["_text"], needle["_text"])
+    return (hay["_hay"] != needle["_needle"]) & found if same else found
+
+
+def _by_grams(needles: DataFrame, hays: DataFrame, same: bool) -> DataFrame:
+    """``contained`` for groups of any size."""
     tiers = needles.where(F.length("_text") > 0).select("_by", _tier(F.octet_length("_text")).alias("_tier")).groupBy("_by").agg(F.collect_set("_tier").alias("_tiers"))
     grams = _gram_rows(hays.join(tiers, "_by"), True)
     counts = grams.groupBy("_by", "_tier", "_gram").agg(F.count("*").alias("_n"))
