@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tests.llm.cases import documents, edges, empty, texts
-from weftline.llm import decontaminate
+from weftline.llm import decontaminate, near_dedup
 from weftline.llm.decontaminate import overlaps, without_overlaps
 from weftline.llm.near_dedup import keep_one, near_duplicates, signatures, similarity
 
@@ -77,6 +77,16 @@ def test_classes_equal_brute_force(spark, rows):
     assert kept == sorted({r.class_id for r in got})
 
 
+def test_members_that_lack_other_stretches_are_not_paired(spark):
+    by = {k: [20 if i == at else 0 for i in range(32)] for k, at in ((1, 0), (2, 5), (3, 0))}
+    rows = [(7, k, k, 100, 95, 20, by[k], [10 * k]) for k in by]
+    group = spark.createDataFrame(rows, "_g long, _k long, _c long, _w long, _wl long, _lacks long, _by array<int>, _own array<long>")
+    buckets = {}
+    for r in near_dedup.parted(group, 0.8).collect():
+        buckets.setdefault(r["_key"], set()).add(r["_k"])
+    assert [x for x in buckets.values() if len(x) > 1] == [{1, 3}]
+
+
 def test_near_edges(spark):
     got = near_duplicates(edges(spark)).collect()
     assert len(got) == 12
